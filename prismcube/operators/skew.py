@@ -11,7 +11,7 @@ Percentile ``p`` of ``n`` values is the value of rank ``ceil(p * n)``.
 
 Defined results: null keys belong to no key but count in the total of a share;
 null, NaN and infinite values count as rows but enter neither sums nor
-percentiles (null where none is left). Sums are exact in units of 0.0001.
+percentiles (null where none is left). Sums are exact in units of 0.000001.
 Extra columns are not read.
 """
 
@@ -69,7 +69,7 @@ def keyed_stats(df: DataFrame, key: Column, values: list[str], probs: dict[str,
     few = F.broadcast(heavy)
     sums = [F.count(F.lit(1)).alias("n_rows")]
     for i in range(len(values)):
-        sums += [F.sum(F.expr(f"try_cast(v{i} AS DECIMAL(28,4))")).cast("double").alias(f"s{i}")]
+        sums += [F.sum(F.expr(f"try_cast(v{i} AS DECIMAL(28,6))")).cast("double").alias(f"s{i}")]
     # Both branches keep partial sums, so a heavy key sends one row per map task.
     head = base.groupBy("key").agg(*sums)
     long = base.select("key", F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"v{i}").alias("v")) for i in range(len(values))])).alias("x")).select("key", "x.*").where("v IS NOT NULL")
@@ -81,7 +81,7 @@ def keyed_stats(df: DataFrame, key: Column, values: list[str], probs: dict[str,
     picked = _pick(cum.withColumn("r", F.explode(_ranks(ps, F.col("n")))), ["key", "f"])
 
     hot = materialise(hot, "hot")
-    cuts = hot.groupBy("key", "f").agg(F.array_sort(F.array_distinct(F.expr(f"percentile_approx(v, transform(sequence(1, {RANGES - 1}), k -> k / {RANGES}d), 2000)"))).alias("cuts"))
+    cuts = hot.groupBy("key", "f").agg(F.array_sort(F.array_distinct(F.percentile_approx("v", [k / RANGES for k in range(1, RANGES)], 2000))).alias("cuts"))
     ranged = hot.join(F.broadcast(cuts), ["key", "f"]).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
     per = ranged.groupBy("key", "f", "part").agg(F.sum("c").alias("c"))
     per = per.withColumn("upto", F.sum("c").over(w.orderBy("part"))).withColumn("n", F.sum("c").over(w))

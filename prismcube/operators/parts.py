@@ -21,8 +21,7 @@ def values_at(df: DataFrame, value: Column, ranks: list[int]) -> list:
     if cuts is None:
         return []
     cuts = sorted(set(cuts))
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("v"))).alias("p")
-    counts = v.groupBy("v").agg(F.count(F.lit(1)).alias("c")).select("v", "c", part)
+    counts = v.groupBy("v").agg(F.count(F.lit(1)).alias("c")).select("v", "c", part_of(F.col("v"), cuts).alias("p"))
     before, wanted, at = {}, {}, 0
     for r in counts.groupBy("p").agg(F.sum("c").alias("c")).orderBy("p").collect():
         before[r["p"]] = at
@@ -53,10 +52,14 @@ def cut_points(df: DataFrame, code: Column, cuts: int, sample: int | None = None
 
 
 def part_of(code: Column, cuts: list) -> Column:
-    """Number of the part: the first cut that is not below the code."""
-    if not cuts:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < code))
+    """Number of the part: the first cut that is not below the code; a null code has none."""
+    out = F.lit(len(cuts))
+    if cuts:
+        chain = F.when(code <= cuts[0], 0)
+        for i, c in enumerate(cuts[1:], 1):
+            chain = chain.when(code <= c, i)
+        out = F.when(code.isNotNull(), chain.otherwise(len(cuts)))
+    return out
 
 
 def in_parts(part: Column, bits: int) -> Column:

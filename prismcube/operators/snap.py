@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .points import Grid, haversine_m, is_location
 
 
@@ -65,20 +66,48 @@ def supported(locates: DataFrame, objects: DataFrame, tag: Tag | None, least: in
     return (j.where(F.col("n") <= most) if most != -1 else j).drop("n")
 
 
-def nearest(queries: DataFrame, locates: DataFrame, radius_m: float = 100.0, most: int = 1000) -> DataFrame:
-    """``query_id, id, distance_m, rank``: the nearest locates within the radius of each query point.
-
-    ``queries`` holds ``query_id, lat, lon``.
-    """
+def _within(queries: DataFrame, locates: DataFrame, radius_m: float, most: int) -> DataFrame:
+    """Up to ``most`` nearest of the locates within a radius, by one equi-join on cells."""
     grid = Grid(radius_m)
-    home = locates.where(is_location(F.col("lat"), F.col("lon"))).select("id", F.col("lat").alias("y"), F.col("lon").alias("x"), grid.cell(F.col("lat"), F.col("lon")).alias("cell"))
-    look = queries.where(is_location(F.col("lat"), F.col("lon"))).select("query_id", "lat", "lon", F.explode(grid.cells_around(F.col("lat"), F.col("lon"))).alias("cell"))
+    home = locates.select("id", "y", "x", grid.cell(F.col("y"), F.col("x")).alias("cell"))
+    look = queries.select("query_id", "lat", "lon", F.explode(grid.cells_around(F.col("lat"), F.col("lon"))).alias("cell"))
     d = haversine_m(F.col("lat"), F.col("lon"), F.col("y"), F.col("x"))
     hits = look.join(home, "cell").where(F.abs(F.col("lat") - F.col("y")) <= grid.reach).withColumn("distance_m", d).where(F.col("distance_m") <= radius_m)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance_m", "id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= most).select("query_id", "id", "distance_m", "rank")
 
 
+def nearest(queries: DataFrame, locates: DataFrame, radius_m: float = 100.0, most: int = 1000, first_m: float | None = None) -> DataFrame:
+    """``query_id, id, distance_m, rank``: the nearest locates within the radius of each query point.
+
+    ``queries`` holds ``query_id, lat, lon``, each id once. Of locates at the same
+    place only the ``most`` with the least ids can be among the nearest. With
+    ``first_m`` the search starts at that radius, and only queries that do not find
+    ``most`` locates go on to four times the radius; so a crowded place costs no
+    more than a lonely one. It pays where some places are crowded and ``most`` is small.
+    """
+    places = locates.where(is_location(F.col("lat"), F.col("lon"))).select("id", F.col("lat").cast("double").alias("y"), F.col("lon").cast("double").alias("x"))
+    same = F.row_number().over(Window.partitionBy("y", "x").orderBy("id"))
+    places = places.withColumn("same", same).where(F.col("same") <= most).drop("same")
+    left = queries.where(is_location(F.col("lat"), F.col("lon"))).select("query_id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    radii = [radius_m]
+    while first_m and radii[-1] / 4 >= first_m:
+        radii.append(radii[-1] / 4)
+    if len(radii) == 1:
+        return _within(left, places, radius_m, most)
+    places = materialise(places, "places")
+    out = None
+    for r in reversed(radii):
+        found = _within(left, places, r, most)
+        if r < radius_m:
+            found = materialise(found, "near")
+            done = found.where(F.col("rank") == most).select("query_id")
+            left = materialise(left.join(done, "query_id", "left_anti"), "left")
+            found = found.join(done, "query_id", "left_semi")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def with_objects(found: DataFrame, objects: DataFrame, tag: Tag | None = None, every: bool = False) -> DataFrame:
     """Found locates with the matching objects at them (``every``: all objects) nested."""
     at = objects if tag is None or every else objects.where(tag.column(F.col("tags")))

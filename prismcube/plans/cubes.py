@@ -135,7 +135,7 @@ _add("ip_hilbert", ["ip"], lambda q: q.b("ip", T.Dive(8), "tile8"), f"{_E}, {_HI
 _add("hour_dive", ["hour"], lambda q: q.b("hour", T.Dive(1)), _q(f"CAST(hour(ts) AS VARCHAR) AS hour, {_ALL}", by="hour(ts)"))
 _add("weekday_dive", ["weekday"], lambda q: q.b("weekday", T.Dive(1)), _q(f"CAST(dayofweek(ts) AS VARCHAR) AS weekday, {_ALL}", by="dayofweek(ts)"))
 _add("time_bin_encode", ["time"], lambda q: q.b("time", T.Dive(10)), _q(f"{_binary('tb', 10, 10)} AS time, {_ALL}", by="tb"))
-_add("time_hint", ["time"], lambda q: q.b("time", T.Dive(7), "time"), _q(f"make_timestamptz({E_BASE} * 1000000 + (tb >> 3) * 28800000000) AS time, {_ALL}", by="tb >> 3"))
+_add("time_hint", ["time"], lambda q: q.b("time", T.Dive(7), "time"), _q(f"make_timestamp(CAST({E_BASE} + (tb >> 3) * 28800 AS BIGINT) * 1000000) AS time, {_ALL}", by="tb >> 3"))
 _add("binding_order", ["type", "location"], lambda q: q.b("type", T.Dive(1), "name").b("location", T.Dive(1)).b("type", T.Path((0,))), _q(f"{_path('x', 'y', 10, 1)} AS location, event_type AS type, {_ALL}", by=f"{_path('x', 'y', 10, 1)}, event_type"))
 
 # ---- sequences

@@ -124,7 +124,9 @@ class Result:
                 cols.append(F.coalesce(F.col(f"n_{k.dim}"), codes.path_text(c, k.bits, k.depth)).alias(k.dim))
             elif kind == "time" and self.dims[k.dim].base is not None:
                 d = self.dims[k.dim]
-                cols.append(F.timestamp_seconds(d.base + c * 2 ** (d.levels - k.depth) * d.width).alias(k.dim))
+                second = d.base + c * 2 ** (d.levels - k.depth) * d.width
+                epoch = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+                cols.append((epoch + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), second.cast("decimal(18,6)"))).alias(k.dim))
             else:
                 cols.append((codes.path_array if paths == "array" else codes.path_text)(c, k.bits, k.depth).alias(k.dim))
         names, seen = [], {}

@@ -103,10 +103,15 @@ class TileRange(Target):
             y0, y1 = n - 1 - y0, n - 1 - y1
         k = dim.levels - self.z
         lo, hi = poly.interleave(min(x0, x1), min(y0, y1)), poly.interleave(max(x0, x1), max(y0, y1))
-        x, y = F.shiftright(codes.cell_x(code, dim.levels), k), F.shiftright(codes.cell_y(code, dim.levels), k)
-        # The range of codes lets a scan skip row groups; the cells decide.
+        # The range of codes lets a scan skip row groups; the cells decide. Bits of x and
+        # y keep their order where they stand in the code, so they are not gathered.
         near = code.between(lo << 2 * k, ((hi + 1) << 2 * k) - 1)
-        return Compiled([near, x.between(min(x0, x1), max(x0, x1)), y.between(min(y0, y1), max(y0, y1))])
+        tests = [near]
+        for v, w, shift in ((x0, x1, 0), (y0, y1, 1)):
+            mask = poly.interleave(n - 1, 0) << 2 * k + shift
+            low, high = (poly.interleave(u, 0) << 2 * k + shift for u in (min(v, w), max(v, w)))
+            tests.append(code.bitwiseAND(F.lit(mask).cast("long")).between(low, high))
+        return Compiled(tests)
 
 
 @dataclass

@@ -41,6 +41,8 @@ from ..session import materialise
 PRIOR = 0.05
 #: Fewest different pages at a limit, and bytes that a cut between characters may fall short of one.
 AT_LIMIT, SHORT = 3, 3
+#: Characters at the end of a line in which its last words are looked for.
+REACH = 80
 #: Weight of the shorter ending's rate in a longer one's.
 WEIGHT = 10.0
 #: A last word is known from so many lines inside of pages, or as the close of such a share of pages.
@@ -57,9 +59,9 @@ _CLOSED = r"[.!?][\"'”’»)\]]*\z|\)\z|[”»]\z"
 
 
 def _ending(line: Column) -> Column:
-    """The last three words of a line, folded; fewer are filled up with ``^``."""
-    text = F.regexp_extract(F.concat(F.lit("^ ^ ^ "), line), r"(\S+\s+\S+\s+\S+)\s*\z", 1)
-    text = F.regexp_replace(text, r"(?<=\S)-\s+|\s+", " ")
+    """The last three words in the last ``REACH`` characters, folded; fewer are filled up with ``^``."""
+    text = F.regexp_replace(F.concat(F.lit("^ ^ ^ "), F.rtrim(F.right(F.rtrim(line), F.lit(REACH)))), r"(?<=\S)-\s+|\s+", " ")
+    text = F.substring_index(text, " ", -3)
     text = F.regexp_replace(text, r"\p{Lu}{2,}(?:['’]?\p{Lu}+)*", "@@")
     text = F.regexp_replace(text, r"\p{Lu}\p{Ll}{4,}", "@")
     # Digits, and letters that scans confuse, fall together.

@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 #: Latitude at which the square Mercator map ends.
 MAX_LAT = 85.05113
 
-#: Bits of a byte moved to the even places, and the even bits of a byte moved together.
-SPREAD = [sum((i >> k & 1) << 2 * k for k in range(8)) for i in range(256)]
+#: The even bits of a byte moved together.
 GATHER = [sum((i >> 2 * k & 1) << k for k in range(4)) for i in range(256)]
 
 
@@ -23,39 +22,34 @@ def _lit(n: int) -> Column:
     return F.lit(n).cast("long")
 
 
-def _by_bytes(c: Column, rule: list[int], bits: int, step: int) -> Column:
-    """Each byte of ``c`` through a table, the results ``step`` bits apart.
+def spread(c: Column) -> Column:
+    """Bits of a number below 2**31 moved to the even places: its binary digits read in base 4.
 
-    A table lookup names its argument once a byte; the usual shift-and-mask chain
-    doubles it at every step, which no generated code survives.
+    The usual shift-and-mask chain names its argument twice at every step, which
+    in generated code doubles the argument's code each time; this names it once.
     """
-    out = None
-    for k in range(max(1, -(-bits // 8))):
-        byte = (F.shiftright(c, 8 * k) if k else c).bitwiseAND(_lit(255)).cast("int")
-        part = F.get(F.lit(rule).cast("array<bigint>"), byte)
-        part = F.shiftleft(part, step * k) if k else part
-        out = part if out is None else out.bitwiseOR(part)
-    return out
-
+    return F.conv(F.bin(c.cast("long")), 4, 10).cast("long")
 
-def spread(c: Column, bits: int = 31) -> Column:
-    """Bits of a number below ``2**bits`` moved to the even places."""
-    return _by_bytes(c.cast("long"), SPREAD, bits, 16)
 
-
-def spread_by_four(c: Column, bits: int = 15) -> Column:
-    """Bits of a number below ``2**bits`` moved to every fourth place."""
-    return _by_bytes(c, [sum((i >> k & 1) << 4 * k for k in range(8)) for i in range(256)], bits, 32)
+def spread_by_four(c: Column) -> Column:
+    """Bits of a number below 2**15 moved to every fourth place."""
+    return F.conv(F.bin(c.cast("long")), 16, 10).cast("long")
 
 
 def gather(c: Column, bits: int = 62) -> Column:
-    """Bits of the even places of a number below ``2**bits`` moved together."""
-    return _by_bytes(c.cast("long"), GATHER, bits, 4)
+    """Bits of the even places of a number below ``2**bits`` moved together, a byte at a time by table."""
+    out = None
+    for k in range(max(1, -(-bits // 8))):
+        byte = (F.shiftright(c, 8 * k) if k else c).bitwiseAND(_lit(255)).cast("int")
+        part = F.get(F.lit(GATHER).cast("array<bigint>"), byte)
+        part = F.shiftleft(part, 4 * k) if k else part
+        out = part if out is None else out.bitwiseOR(part)
+    return out
 
 
-def morton(x: Column, y: Column, levels: int = 31) -> Column:
+def morton(x: Column, y: Column) -> Column:
     """Quadtree code of a cell; a label is the x bit plus twice the y bit."""
-    return spread(x, levels).bitwiseOR(F.shiftleft(spread(y, levels), 1))
+    return spread(x).bitwiseOR(F.shiftleft(spread(y), 1))
 
 
 def cell_x(code: Column, levels: int = 31) -> Column:
@@ -99,7 +93,7 @@ def latlon(lat: Column, lon: Column, levels: int, f32: bool = False) -> Column:
     n = 1 << levels
     cell = lambda m: F.least(F.floor((m + 1) / 2 * n), _lit(n - 1))
     good = lat.between(-MAX_LAT, MAX_LAT) & lon.between(-180, 180)
-    return F.when(good, morton(cell(mercator_x(lon)), F.greatest(cell(mercator_y(lat)), _lit(0)), levels))
+    return F.when(good, morton(cell(mercator_x(lon)), F.greatest(cell(mercator_y(lat)), _lit(0))))
 
 
 def xy(x: Column, y: Column, levels: int, slippy: bool = False) -> Column:
@@ -107,7 +101,7 @@ def xy(x: Column, y: Column, levels: int, slippy: bool = False) -> Column:
     n = 1 << levels
     x, y = x.cast("long"), y.cast("long")
     good = x.between(0, n - 1) & y.between(0, n - 1)
-    return F.when(good, morton(x, (n - 1) - y if slippy else y, levels))
+    return F.when(good, morton(x, (n - 1) - y if slippy else y))
 
 
 def ipv4(text: Column) -> Column:
@@ -142,7 +136,7 @@ def hilbert_ip(text: Column, levels: int) -> Column:
         return F.struct((nx + side * rx).alias("x"), (ny + side * ry).alias("y"), F.shiftright(s["t"], 2).alias("t"))
 
     end = F.aggregate(steps, state, step)
-    return F.when(t.isNotNull(), morton(end["x"], ((1 << levels) - 1) - end["y"], levels))
+    return F.when(t.isNotNull(), morton(end["x"], ((1 << levels) - 1) - end["y"]))
 
 
 def seconds(ts: Column) -> Column:
@@ -167,21 +161,23 @@ def parse_time(c: Column) -> Column:
     mdy = r"\A\s*([0-9]{1,2})[-/]([0-9]{1,2})[-/]([0-9]{4})"
     clock = r"(?:[T@ ]([0-9]{1,2})(?::([0-9]{1,2})(?::([0-9]{1,2})(?:\.[0-9]+)?)?)?)?\s*([aApP][mM])?\s*(Z|[-+][0-9]{2}(?::?[0-9]{2})?)?\s*\z"
 
-    def read(pattern: str, order: tuple[int, int, int]) -> Column:
-        g = lambda i: F.regexp_extract(c, pattern + clock, i)
-        num = lambda i, d: F.coalesce(g(i).try_cast("int"), F.lit(d))
-        y, m, d = num(order[0], 0), num(order[1], 1), num(order[2], 1)
-        h, mi, s, ap, z = num(4, 0), num(5, 0), num(6, 0), F.lower(g(7)), g(8)
-        h = F.when(ap == "", h).when(h > 12, F.lit(None)).otherwise(h % 12 + F.when(ap == "pm", 12).otherwise(0))
-        away = F.when(z.isin("", "Z"), 0).otherwise(F.substring(z, 2, 2).try_cast("int") * 60 + F.coalesce(F.right(F.regexp_replace(z, ":", ""), F.lit(2)).try_cast("int"), F.lit(0)) * (F.length(z) > 3).cast("int"))
-        away = F.when(z.startswith("-"), -away).otherwise(away)
-        day = F.try_make_timestamp_ntz(y, m, d, F.lit(0), F.lit(0), F.lit(0).cast("decimal(16,6)"))
-        good = (h <= 23) & (mi <= 59) & (s <= 59)
-        return F.when(c.rlike(pattern + clock) & good, F.unix_seconds(day.cast("timestamp")) + h * 3600 + mi * 60 + s - away * 60)
-
-    return F.coalesce(read(ymd, (1, 2, 3)), read(mdy, (3, 1, 2)))
-
-
+    mark = "\u0001"
+    one = F.regexp_replace(c, ymd + clock, mark.join(f"${i}" for i in range(1, 9)))
+    both = F.regexp_replace(one, mdy + clock, mark.join(f"${i}" for i in (3, 1, 2, 4, 5, 6, 7, 8)))
+
+    def read(p: Column) -> Column:
+        num = lambda i, d: F.coalesce(F.get(p, F.lit(i)).try_cast("int"), F.lit(d))
+        y, m, d = F.get(p, F.lit(0)).try_cast("int"), num(1, 1), num(2, 1)
+        h, mi, s, ap, z = num(3, 0), num(4, 0), num(5, 0), F.lower(F.get(p, F.lit(6))), F.get(p, F.lit(7))
+        half = F.when(ap == "", h).when(h > 12, F.lit(None)).otherwise(h % 12 + F.when(ap == "pm", 12).otherwise(0))
+        digits = F.translate(z, "+-:Z", "")
+        away = F.coalesce(F.substring(digits, 1, 2).try_cast("int"), F.lit(0)) * 60 + F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0))
+        day = F.unix_date(F.try_make_timestamp_ntz(y, m, d, F.lit(0), F.lit(0), F.lit(0).cast("decimal(16,6)")).cast("date")).cast("long")
+        good = (F.size(p) == 8) & (half <= 23) & (mi <= 59) & (s <= 59)
+        return F.when(good, day * 86400 + half * 3600 + mi * 60 + s - F.when(z.startswith("-"), -away).otherwise(away) * 60)
+
+    # Bound in a lambda, so that the parts are taken from the text once.
+    return F.get(F.transform(F.array(F.split(both, mark, -1)), read), F.lit(0))
 
 
 def hour_label(ts: Column) -> Column:

@@ -53,6 +53,9 @@ def cut_points(df: DataFrame, code: Column, cuts: int, sample: int | None = None
 
 def part_of(code: Column, cuts: list) -> Column:
     """Number of the part: the first cut that is not below the code; a null code has none."""
+    if len(cuts) > 16:
+        # A chain of so many branches outgrows generated code.
+        return F.when(code.isNotNull(), F.size(F.filter(F.lit(list(cuts)), lambda c: c < code)))
     out = F.lit(len(cuts))
     if cuts:
         chain = F.when(code <= cuts[0], 0)
@@ -78,7 +81,7 @@ def pair_code(a_x: Column, a_y: Column, b_x: Column, b_y: Column, levels: int) -
     def half(cut) -> Column:
         out = F.lit(0).cast("long")
         for place, v in enumerate((b_x, b_y, a_x, a_y)):
-            wide = codes.spread_by_four(cut(v.cast("long")), min(levels, 15))
+            wide = codes.spread_by_four(cut(v.cast("long")))
             out = out.bitwiseOR(F.shiftleft(wide, place) if place else wide)
         return out
 

@@ -79,9 +79,9 @@ def test_nearest_like_brute_force(spark, first):
     loc = spark.createDataFrame(pts, "id long, lat double, lon double")
     ask = pts[:80]
     q = spark.createDataFrame(ask, "query_id long, lat double, lon double")
-    got = {(r["query_id"], r["id"]) for r in snap.nearest(q, loc, 200.0, 7, first_m=first).collect()}
-    want = set()
+    got = sorted((r["query_id"], r["rank"], round(r["distance_m"], 4)) for r in snap.nearest(q, loc, 200.0, 7, first_m=first).collect())
+    want = []
     for i, *a in ask:
-        hits = sorted((round(meters(a, b), 6), j) for j, *b in pts if meters(a, b) <= 200)
-        want |= {(i, j) for _, j in hits[:7]}
-    assert got == want
+        hits = sorted(round(meters(a, b), 4) for _, *b in pts if meters(a, b) <= 200)
+        want += [(i, k + 1, m) for k, m in enumerate(hits[:7])]
+    assert got == sorted(want)

@@ -16,7 +16,8 @@ inside a page does. Where pages close, the ratio is high; in the middle of a
 sentence or in a heading, a page ends only by a break. Rates are smoothed with
 those of shorter endings, and of the two words before whatever follows. After a
 full stop or closing mark only an abbreviation speaks for a cut; a last word that
-hardly stands at the end of lines inside pages does, unless it closes many pages. The page itself is left out of its own count.
+hardly stands at the end of lines inside pages does, unless it closes many pages,
+and a last name that no line inside a page ends with speaks for one. The page itself is left out of its own count.
 
 The log-odds of the ending are added to those of the prior, or at a real limit to
 those of the censoring posterior.
@@ -47,6 +48,8 @@ REACH = 80
 WEIGHT = 10.0
 #: A last word is known from so many lines inside of pages, or as the close of such a share of pages.
 KNOWN, CLOSING = 2, 0.001
+#: Log-odds that a last name which ends no line inside of a page is part of a longer one.
+PARTIAL = 3.5
 #: Rate of page ends among uses of an ending at which it speaks neither way; uses and rate of an abbreviation.
 EVEN, ABBREVIATION = 0.01, (50, 0.003)
 
@@ -68,6 +71,11 @@ def _ending(line: Column) -> Column:
     return F.translate(F.lower(F.regexp_replace(text, "[0-9]+", "9")), "cea0ltfijhbnurmsv(", "oooo11111hhnnnnsno")
 
 
+def _name(line: Column) -> Column:
+    """The last word of a line without marks behind it, if it starts with a capital."""
+    return F.regexp_extract(F.rtrim(F.right(F.rtrim(line), F.lit(REACH))), r"(?:^|[\s\-])(\p{Lu}[\p{L}'’]*)[^\p{L}\s]*\z", 1)
+
+
 def length_fit(stats: pd.DataFrame) -> pd.DataFrame:
     """Log-odds that each candidate limit is real, and the posterior of a page there.
 
@@ -169,6 +177,7 @@ def cut_pages(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
         F.coalesce(tail.rlike(REMNANT), F.lit(False)).alias("remnant"),
         F.coalesce(F.rtrim(tail).rlike(_CLOSED), F.lit(False)).alias("closed"),
         F.when(~blank, _ending(F.substring_index(body, "\n", -2))).alias("ending"),
+        F.when(~blank, _name(body)).alias("name"),
     )
     rows = materialise(rows, "pages")
     pages = rows.count()
@@ -176,10 +185,11 @@ def cut_pages(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     before = F.coalesce(F.get("ls", F.col("i") - 1), F.lit(""))
     line = line.select(F.concat(before, F.lit("\n"), "x").alias("x"), (F.col("i") == F.size("ls") - 1).alias("last"), (F.col("x") != "").alias("full"))
     rates = ending_rates(line.where("full").select(_ending(F.col("x")).alias("ending"), "last"))
+    names = line.where(~F.col("last")).select(_name(F.col("x")).alias("name")).where("name <> ''").distinct().withColumn("known", F.lit(True))
     real = limits(rows).where("posterior > 0.5")
     # Few rows: one per source, with the unit that fits best.
     best = real.groupBy(F.col("source").alias("s_")).agg(F.max(F.struct("odds", "unit", (F.col("limit") - F.col("width")).alias("from"), "posterior")).alias("lim"))
-    j = rows.join(F.broadcast(best), F.col("source").eqNullSafe(F.col("s_")), "left").join(rates, "ending", "left")
+    j = rows.join(F.broadcast(best), F.col("source").eqNullSafe(F.col("s_")), "left").join(rates, "ending", "left").join(names, "name", "left")
     post = F.when(F.when(F.col("lim.unit") == "chars", F.col("chars")).otherwise(F.col("bytes")) >= F.col("lim.from"), F.least(F.col("lim.posterior"), F.lit(0.9999)))
     prior = math.log(PRIOR / (1 - PRIOR))
     abbreviated = (F.col("n1") >= ABBREVIATION[0]) & (F.col("r1") < ABBREVIATION[1])
@@ -187,7 +197,8 @@ def cut_pages(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     closing = (F.col("e1") >= max(5.0, CLOSING * pages)) & (F.length(word) >= 4)
     inside = (F.col("n1") - F.col("e1") >= KNOWN) & (2 * F.col("e1") < F.col("n1"))
     fragment = ~F.coalesce(closing | inside, F.lit(False)) & (F.coalesce("ra", F.lit(0.0)) < 3 * EVEN)
-    by_rate = 2 * F.log(EVEN / F.greatest(F.col("rate"), F.lit(1e-4))) - prior
+    partial = F.when((F.col("name") != "") & F.col("known").isNull(), PARTIAL).otherwise(0.0)
+    by_rate = 2 * F.log(EVEN / F.greatest(F.col("rate"), F.lit(1e-4))) - prior + partial
     ending = F.when(F.col("remnant"), 12.0).when(F.col("closed"), F.when(abbreviated, 6.0).otherwise(-4.0)).when(fragment, 6.0).otherwise(by_rate)
     odds = F.when(post.isNotNull(), F.log(post / (1 - post)) + F.greatest(ending, F.lit(-4.0))).otherwise(prior + ending)
     return j.select("key", "source", post.alias("at_limit"), "remnant", "closed", "ending", "rate", F.when(F.col("blank"), F.lit(-20.0)).otherwise(odds).alias("log_odds"))

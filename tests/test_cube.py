@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from prismcube.__main__ import open_cubes
 from prismcube.functions import codes
 from prismcube.operators import parts, snap
 from prismcube.plans import cube as C
@@ -192,6 +193,7 @@ def test_save_load_parts_and_rollup(spark, crimes, tmp_path):
     crimes.save(f"file://{tmp_path}/a")
     c = C.Cube.load(spark, f"file://{tmp_path}/a", f"file://{tmp_path}/a")
     assert rows(Query((c,)).b("type", T.Dive(1), "name").table()) == [("CRIMINAL DAMAGE", 2.0), ("NARCOTICS", 2.0), ("THEFT", 4.0)]
+    assert "THEFT|4.000000" in open_cubes(spark, [f"c=@{tmp_path}/a:{tmp_path}/a"]).render("format('psv');q(c.b('type',dive(1),'name'))")
     assert CubeSchema.from_json(crimes.schema.to_json()) == crimes.schema
     r = crimes.rollup({"type": 1, "location": 5})
     q = Query((r,)).b("location", T.Dive(3))

@@ -30,8 +30,8 @@ PRESENT = "\u0000"
 class TermStore:
     """Persistent counts of terms of several fields."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 16):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+        self.spark, self.buckets = spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.path = path or scratch(spark, "terms")
         self.segments: list[str] = []
         self.version = 0
@@ -46,8 +46,8 @@ class TermStore:
         """Merge a batch of ``(field, record, terms, sign)``; ``sign`` is 1 or -1."""
         terms = F.concat(F.array(F.lit(PRESENT)), F.coalesce(F.filter("terms", lambda t: t.isNotNull()), F.array().cast("array<string>")))
         flat = batch.select("field", F.col("record").cast("string").alias("record"), F.explode(terms).alias("term"), "sign")
-        flat = flat.withColumn("bucket", F.pmod(F.xxhash64("record"), F.lit(self.buckets)).cast("int")).repartition(self.buckets, "bucket")
-        # Grouping by bucket first lets every later step on records reuse this layout.
+        flat = flat.withColumn("bucket", F.pmod(F.xxhash64("record"), F.lit(self.buckets)).cast("int"))
+        # Partial counts come before the shuffle, so a record that holds many rows sends few.
         delta = flat.groupBy("bucket", "field", "record", "term").agg(F.sum("sign").alias("d"))
         if self.segments:
             touched = delta.where(F.col("term") == PRESENT).select("bucket", "field", "record").distinct()
@@ -58,7 +58,7 @@ class TermStore:
         else:
             both = delta.withColumn("o", F.lit(0).cast("long"))
         segment = f"{self.path}/postings/segment={self.version + 1}"
-        both.where(F.col("d") != 0).write.partitionBy("bucket").parquet(segment)
+        both.where(F.col("d") != 0).repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(segment)
         new = self.spark.read.schema("field string, record string, term string, o long, d long, bucket int").parquet(segment)
         gain = ((F.col("o") + F.col("d") > 0).cast("long") - (F.col("o") > 0).cast("long")) * F.col("record").isNotNull().cast("long")
         change = new.groupBy("field", "term").agg(F.sum("d").alias("occurrences"), F.sum(gain).alias("records"))

@@ -172,12 +172,14 @@ def cut_pages(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     body = F.regexp_replace(t, r"\s+\z", "")
     blank = t.isNull() | (body == "")
     tail = F.right(t, F.lit(160))
+    # Pages without an ending or a name get one that meets nothing, many of them, so that they do not gather in one task.
+    spare = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("key", t), F.lit(1009)).cast("string"))
     rows = base.select(
         "key", "source", F.coalesce(F.length(t), F.lit(0)).alias("chars"), F.coalesce(F.octet_length(t), F.lit(0)).alias("bytes"), F.xxhash64(t).alias("same"), blank.alias("blank"),
         F.coalesce(tail.rlike(REMNANT), F.lit(False)).alias("remnant"),
         F.coalesce(F.rtrim(tail).rlike(_CLOSED), F.lit(False)).alias("closed"),
-        F.when(~blank, _ending(F.substring_index(body, "\n", -2))).alias("ending"),
-        F.when(~blank, _name(body)).alias("name"),
+        F.when(blank, spare).otherwise(_ending(F.substring_index(body, "\n", -2))).alias("ending"),
+        F.when(blank | (_name(body) == ""), spare).otherwise(_name(body)).alias("name"),
     )
     rows = materialise(rows, "pages")
     pages = rows.count()
@@ -197,7 +199,7 @@ def cut_pages(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     closing = (F.col("e1") >= max(5.0, CLOSING * pages)) & (F.length(word) >= 4)
     inside = (F.col("n1") - F.col("e1") >= KNOWN) & (2 * F.col("e1") < F.col("n1"))
     fragment = ~F.coalesce(closing | inside, F.lit(False)) & (F.coalesce("ra", F.lit(0.0)) < 3 * EVEN)
-    partial = F.when((F.col("name") != "") & F.col("known").isNull(), PARTIAL).otherwise(0.0)
+    partial = F.when(~F.col("name").startswith("\u0000") & F.col("known").isNull(), PARTIAL).otherwise(0.0)
     by_rate = 2 * F.log(EVEN / F.greatest(F.col("rate"), F.lit(1e-4))) - prior + partial
     ending = F.when(F.col("remnant"), 12.0).when(F.col("closed"), F.when(abbreviated, 6.0).otherwise(-4.0)).when(fragment, 6.0).otherwise(by_rate)
     odds = F.when(post.isNotNull(), F.log(post / (1 - post)) + F.greatest(ending, F.lit(-4.0))).otherwise(prior + ending)

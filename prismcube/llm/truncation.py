@@ -61,19 +61,22 @@ REMNANT = (
 _CLOSED = r"[.!?][\"'”’»)\]]*\z|\)\z|[”»]\z"
 
 
-def _ending(line: Column) -> Column:
-    """The last three words in the last ``REACH`` characters, folded; fewer are filled up with ``^``."""
+def _words(line: Column) -> Column:
+    """The last three words in the last ``REACH`` characters; fewer are filled up with ``^``."""
     text = F.regexp_replace(F.concat(F.lit("^ ^ ^ "), F.rtrim(F.right(F.rtrim(line), F.lit(REACH)))), r"(?<=\S)-\s+|\s+", " ")
-    text = F.substring_index(text, " ", -3)
-    text = F.regexp_replace(text, r"\p{Lu}{2,}(?:['’]?\p{Lu}+)*", "@@")
+    return F.substring_index(text, " ", -3)
+
+
+def _ending(words: Column) -> Column:
+    """Words with names, numbers and letters that scans confuse folded."""
+    text = F.regexp_replace(words, r"\p{Lu}{2,}(?:['’]?\p{Lu}+)*", "@@")
     text = F.regexp_replace(text, r"\p{Lu}\p{Ll}{4,}", "@")
-    # Digits, and letters that scans confuse, fall together.
     return F.translate(F.lower(F.regexp_replace(text, "[0-9]+", "9")), "cea0ltfijhbnurmsv(", "oooo11111hhnnnnsno")
 
 
-def _name(line: Column) -> Column:
-    """The last word of a line without marks behind it, if it starts with a capital."""
-    return F.regexp_extract(F.rtrim(F.right(F.rtrim(line), F.lit(REACH))), r"(?:^|[\s\-])(\p{Lu}[\p{L}'’]*)[^\p{L}\s]*\z", 1)
+def _name(words: Column) -> Column:
+    """The last word without marks around it, if it starts with a capital, else an empty text."""
+    return F.regexp_extract(F.substring_index(words, " ", -1), r"\A[^\p{L}]*(\p{Lu}[\p{L}'’]*)[^\p{L}]*\z", 1)
 
 
 def length_fit(stats: pd.DataFrame) -> pd.DataFrame:
@@ -144,13 +147,14 @@ def limits(pages: DataFrame) -> DataFrame:
     return stats.withColumn("limit", F.col("limit").cast("long")).mapInPandas(lambda it: (length_fit(p) for p in it if len(p)), schema)
 
 
-def ending_rates(lines: DataFrame) -> DataFrame:
-    """``ending, n1, e1, r1, ra, rate`` for every ending of a page; ``lines`` has ``ending, last``.
+def ending_rates(counts: DataFrame) -> DataFrame:
+    """``ending, n1, e1, r1, ra, rate`` for every ending of a page.
 
+    ``counts`` has ``ending``, lines ``n`` and lines that end a page ``e``, maybe in several rows.
     ``n1``, ``e1`` and ``r1`` are uses, uses that end a page, and rate of the last
     word, ``ra`` the rate after the two words before it, ``rate`` that of the whole.
     """
-    e = lines.groupBy("ending").agg(F.sum(F.col("last").cast("long")).alias("e3"), F.count(F.lit(1)).alias("n3"))
+    e = counts.groupBy("ending").agg(F.sum("e").alias("e3"), F.sum("n").alias("n3"))
     e = e.select("ending", "e3", "n3", F.substring_index("ending", " ", -1).alias("one"), F.substring_index("ending", " ", -2).alias("two"), F.substring_index("ending", " ", 2).alias("pre"))
     j = e.where("e3 > 0")
     for name, k in (("one", "1"), ("two", "2"), ("pre", "a")):
@@ -178,16 +182,21 @@ def cut_pages(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
         "key", "source", F.coalesce(F.length(t), F.lit(0)).alias("chars"), F.coalesce(F.octet_length(t), F.lit(0)).alias("bytes"), F.xxhash64(t).alias("same"), blank.alias("blank"),
         F.coalesce(tail.rlike(REMNANT), F.lit(False)).alias("remnant"),
         F.coalesce(F.rtrim(tail).rlike(_CLOSED), F.lit(False)).alias("closed"),
-        F.when(blank, spare).otherwise(_ending(F.substring_index(body, "\n", -2))).alias("ending"),
-        F.when(blank | (_name(body) == ""), spare).otherwise(_name(body)).alias("name"),
+        F.when(blank, spare).alias("spare"), spare.alias("any"), _words(F.substring_index(body, "\n", -2)).alias("words"),
     )
-    rows = materialise(rows, "pages")
+    name = _name(F.col("words"))
+    ending = F.coalesce(F.col("spare"), _ending(F.col("words"))).alias("ending")
+    name = F.coalesce("spare", F.when(name != "", name), "any").alias("name")
+    rows = materialise(rows.select("key", "source", "chars", "bytes", "same", "blank", "remnant", "closed", ending, name), "pages")
     pages = rows.count()
     line = base.where(~blank).select(F.split(body, "\n").alias("ls")).select("ls", F.posexplode("ls").alias("i", "x"))
     before = F.coalesce(F.get("ls", F.col("i") - 1), F.lit(""))
-    line = line.select(F.concat(before, F.lit("\n"), "x").alias("x"), (F.col("i") == F.size("ls") - 1).alias("last"), (F.col("x") != "").alias("full"))
-    rates = ending_rates(line.where("full").select(_ending(F.col("x")).alias("ending"), "last"))
-    names = line.where(~F.col("last")).select(_name(F.col("x")).alias("name")).where("name <> ''").distinct().withColumn("known", F.lit(True))
+    line = line.where("x <> ''").select(_words(F.concat(before, F.lit("\n"), "x")).alias("w"), (F.col("i") == F.size("ls") - 1).cast("long").alias("last"))
+    # One pass over the lines serves endings and names.
+    counts = line.select(_ending(F.col("w")).alias("ending"), _name(F.col("w")).alias("name"), "last").groupBy("ending", "name").agg(F.sum("last").alias("e"), F.count(F.lit(1)).alias("n"))
+    counts = materialise(counts, "endings")
+    rates = ending_rates(counts)
+    names = counts.where("name <> '' AND n > e").select("name").distinct().withColumn("known", F.lit(True))
     real = limits(rows).where("posterior > 0.5")
     # Few rows: one per source, with the unit that fits best.
     best = real.groupBy(F.col("source").alias("s_")).agg(F.max(F.struct("odds", "unit", (F.col("limit") - F.col("width")).alias("from"), "posterior")).alias("lim"))

@@ -2,36 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes
+from ..session import materialise
 
 RANGES = 64
 
 
-def values_at(df: DataFrame, value: Column, ranks: list[int]) -> list:
+def values_at(df: DataFrame, value: Column, ranks: Callable[[int], list[int]], unique: bool = False) -> list:
     """Values at 0-based positions of the sorted order, without sorting all rows in one place.
 
-    Approximate quantiles cut the values into ranges; ranges are counted, and only
-    those that hold a wanted position are sorted, each by itself.
+    ``ranks`` names the positions for a number of values. Values are counted once;
+    approximate quantiles cut them into ranges, and only ranges that hold a wanted
+    position are sorted, each by itself.
     """
-    v = df.select(value.alias("v")).where("v IS NOT NULL")
-    cuts = v.agg(F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)], 2000)).first()[0]
-    if cuts is None:
+    v = df.select(value.alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    counts = materialise(v.withColumn("c", F.lit(1).cast("long")) if unique else v, "counts")
+    head = counts.agg(F.sum("c").alias("n"), F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)], 1000).alias("cuts")).first()
+    if not head["n"]:
         return []
-    cuts = sorted(set(cuts))
-    counts = v.groupBy("v").agg(F.count(F.lit(1)).alias("c")).select("v", "c", part_of(F.col("v"), cuts).alias("p"))
+    counts = counts.withColumn("p", part_of(F.col("v"), sorted(set(head["cuts"]))))
     before, wanted, at = {}, {}, 0
     for r in counts.groupBy("p").agg(F.sum("c").alias("c")).orderBy("p").collect():
         before[r["p"]] = at
-        for k in ranks:
+        for k in ranks(head["n"]):
             if at <= k < at + r["c"]:
                 wanted[k] = r["p"]
         at += r["c"]
     inner = counts.where(F.col("p").isin(list(set(wanted.values()))))
     inner = inner.withColumn("upto", F.sum("c").over(Window.partitionBy("p").orderBy("v")))
-    asked = df.sparkSession.createDataFrame([(k, p, k - before[p]) for k, p in wanted.items()] or [(-1, -1, -1)], "rank long, p int, off long")
+    asked = df.sparkSession.createDataFrame([(k, p, k - before[p]) for k, p in wanted.items()], "rank long, p int, off long")
     hits = inner.join(F.broadcast(asked), "p").where((F.col("off") < F.col("upto")) & (F.col("off") >= F.col("upto") - F.col("c")))
     return [r["v"] for r in hits.orderBy("rank").collect()]
 
@@ -42,13 +46,9 @@ def cut_points(df: DataFrame, code: Column, cuts: int, sample: int | None = None
     ``sample`` bounds how many rows are looked at, chosen at random; None takes all.
     """
     c = df.select(code.alias("v")).where("v IS NOT NULL")
-    if sample is not None:
-        n = c.count()
-        c = c.sample(min(1.0, sample / max(n, 1)), seed) if n > sample else c
-    if unique:
-        c = c.distinct()
-    n = c.count()
-    return values_at(c, F.col("v"), [(i + 1) * n // (cuts + 1) for i in range(cuts)]) if n else []
+    if sample is not None and (n := c.count()) > sample:
+        c = c.sample(sample / n, seed)
+    return values_at(c, F.col("v"), lambda n: [(i + 1) * n // (cuts + 1) for i in range(cuts)], unique)
 
 
 def part_of(code: Column, cuts: list) -> Column:

@@ -58,6 +58,25 @@ def category_table(df: DataFrame, value: Column, order: Column, most: int) -> Da
     return few.select("value", (F.row_number().over(Window.orderBy("at", "value")) - 1).cast("long").alias("id"))
 
 
+def first_categories(df: DataFrame, wanted: dict[str, tuple[str, int]], order: Column) -> dict[str, list[str]]:
+    """Categories of several dimensions in order of first appearance, by one pass.
+
+    ``wanted`` maps a dimension to its column and how many categories it can hold,
+    which bounds what comes to the driver.
+    """
+    if not wanted:
+        return {}
+    each = F.array(*[F.struct(F.lit(n).alias("d"), F.col(c).cast("string").alias("value"), F.lit(most).cast("long").alias("most")) for n, (c, most) in wanted.items()])
+    flat = df.select(order.alias("at"), each.alias("x")).select("at", F.explode("x").alias("x")).select("at", "x.*").where("value IS NOT NULL")
+    first = flat.groupBy("d", "value", "most").agg(F.min("at").alias("at"))
+    place = F.row_number().over(Window.partitionBy("d").orderBy("at", "value"))
+    few = first.withColumn("k", place).where((F.col("k") <= max(m for _, m in wanted.values())) & (F.col("k") <= F.col("most")))
+    out: dict[str, list[str]] = {n: [] for n in wanted}
+    for r in few.orderBy("d", "k").collect():
+        out[r["d"]].append(r["value"])
+    return out
+
+
 @dataclass
 class Cube:
     """Encoded rows and their schema."""
@@ -79,6 +98,8 @@ class Cube:
             raise ValueError("a cube has at least one index and one measure dimension")
         order = F.monotonically_increasing_id() if order is None else order
         out, schema = df, []
+        size = lambda s: (1 << s.bits * s.levels) + (len(start.dim(s.name).alias.inputs) if start else 0)
+        found = first_categories(df, {s.name: (s.category, size(s)) for s in dims if s.category and s.alias_text is None}, order)
         for s in dims:
             dim = IndexDim(s.name, s.bits, s.levels, s.hint, s.base, s.width)
             if s.category is None:
@@ -92,10 +113,9 @@ class Cube:
                     old = start.dim(s.name).alias if start else Alias()
                     pairs = [(k, v[1]) for k, v in old.inputs.items()]
                     known = {k for k, _ in pairs}
-                    # At most ``most`` categories, which the dimension's bits bound.
-                    for r in category_table(df, F.col(s.category).cast("string"), order, most + len(known)).orderBy("id").collect():
-                        if r["value"] not in known and len(pairs) < most:
-                            pairs.append((r["value"], len(pairs)))
+                    for value in found[s.name]:
+                        if value not in known and len(pairs) < most:
+                            pairs.append((value, len(pairs)))
                     for k, i in pairs:
                         dim.alias.add(s.levels, i, k)
                 out = out.withColumn("__c", F.col(s.category).cast("string"))

@@ -14,10 +14,12 @@ line before), with names, numbers and characters that scans confuse folded; for
 each such ending, how often a page ends with it is compared with how often a line
 inside a page does. Where pages close, the ratio is high; in the middle of a
 sentence or in a heading, a page ends only by a break. Rates are smoothed with
-those of shorter endings, and of the two words before whatever follows. After a
-full stop or closing mark only an abbreviation speaks for a cut; a last word that
-hardly stands at the end of lines inside pages does, unless it closes many pages,
-and a last name that no line inside a page ends with speaks for one. The page itself is left out of its own count.
+those of shorter endings, and of the two words before whatever follows, for which
+only pages that end without a closing mark count. After a full stop or closing
+mark only an abbreviation speaks for a cut; a last word that hardly stands at the
+end of lines inside pages does, unless it closes many pages, and a last name that
+no line inside a page ends with speaks for one. The page itself is left out of
+its own count. How many lines or pages are few grows with the number of pages.
 
 The log-odds of the ending are added to those of the prior, or at a real limit to
 those of the censoring posterior.
@@ -46,12 +48,12 @@ AT_LIMIT, SHORT = 3, 3
 REACH = 80
 #: Weight of the shorter ending's rate in a longer one's.
 WEIGHT = 10.0
-#: A last word is known from so many lines inside of pages, or as the close of such a share of pages.
-KNOWN, CLOSING = 2, 0.001
+#: A last word is known from so many lines inside of pages, or as the close of so many pages; each at least, and per page.
+KNOWN, CLOSING = (2, 0.0002), (5, 0.001)
 #: Log-odds that a last name which ends no line inside of a page is part of a longer one.
 PARTIAL = 3.5
-#: Rate of page ends among uses of an ending at which it speaks neither way; uses and rate of an abbreviation.
-EVEN, ABBREVIATION = 0.01, (50, 0.003)
+#: Rate of page ends among uses of an ending at which it speaks neither way; uses (at least, and per page) and rate of an abbreviation.
+EVEN, ABBREVIATION = 0.01, (50, 0.005, 0.003)
 
 #: Remnants of a broken transfer at the very end of a text (fixed forms of HTML, JSON, C and URL escapes).
 REMNANT = (
@@ -153,15 +155,18 @@ def ending_rates(counts: DataFrame) -> DataFrame:
     ``counts`` has ``ending``, lines ``n`` and lines that end a page ``e``, maybe in several rows.
     ``n1``, ``e1`` and ``r1`` are uses, uses that end a page, and rate of the last
     word, ``ra`` the rate after the two words before it, ``rate`` that of the whole.
+    Pages that close with a mark do not count in ``ra``: they say where sentences end,
+    not that a page may end there without one.
     """
     e = counts.groupBy("ending").agg(F.sum("e").alias("e3"), F.sum("n").alias("n3"))
     e = e.select("ending", "e3", "n3", F.substring_index("ending", " ", -1).alias("one"), F.substring_index("ending", " ", -2).alias("two"), F.substring_index("ending", " ", 2).alias("pre"))
+    e = e.withColumn("open3", F.when(F.col("ending").rlike(_CLOSED), 0).otherwise(F.col("e3")))
     j = e.where("e3 > 0")
-    for name, k in (("one", "1"), ("two", "2"), ("pre", "a")):
-        j = j.join(e.groupBy(name).agg(F.sum("e3").alias("e" + k), F.sum("n3").alias("n" + k)).where(f"e{k} > 0"), name)
+    for name, k, ends in (("one", "1", "e3"), ("two", "2", "e3"), ("pre", "a", "open3")):
+        j = j.join(e.groupBy(name).agg(F.sum(ends).alias("e" + k), F.sum("n3").alias("n" + k), F.sum("e3").alias("any")).where("any > 0").drop("any"), name)
 
     def rate(k: str, back: Column, weight: float) -> Column:
-        return (F.col("e" + k) - 1 + weight * back) / (F.col("n" + k) - 1 + weight)
+        return (F.greatest(F.col("e" + k) - 1, F.lit(0)) + weight * back) / (F.col("n" + k) - 1 + weight)
 
     r1 = rate("1", F.lit(EVEN), WEIGHT / 2)
     ra = F.when(F.col("na") > 2 * WEIGHT, rate("a", F.lit(EVEN / 5), WEIGHT)).otherwise(F.lit(0.0))
@@ -203,13 +208,15 @@ def cut_pages(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     j = rows.join(F.broadcast(best), F.col("source").eqNullSafe(F.col("s_")), "left").join(rates, "ending", "left").join(names, "name", "left")
     post = F.when(F.when(F.col("lim.unit") == "chars", F.col("chars")).otherwise(F.col("bytes")) >= F.col("lim.from"), F.least(F.col("lim.posterior"), F.lit(0.9999)))
     prior = math.log(PRIOR / (1 - PRIOR))
-    abbreviated = (F.col("n1") >= ABBREVIATION[0]) & (F.col("r1") < ABBREVIATION[1])
+    abbreviated = (F.col("n1") >= max(ABBREVIATION[0], ABBREVIATION[1] * pages)) & (F.col("r1") < ABBREVIATION[2])
     word = F.substring_index("ending", " ", -1)
-    closing = (F.col("e1") >= max(5.0, CLOSING * pages)) & (F.length(word) >= 4)
-    inside = (F.col("n1") - F.col("e1") >= KNOWN) & (2 * F.col("e1") < F.col("n1"))
+    closing = (F.col("e1") >= max(CLOSING[0], CLOSING[1] * pages)) & (F.length(word) >= 4)
+    inside = (F.col("n1") - F.col("e1") >= max(KNOWN[0], KNOWN[1] * pages)) & (2 * F.col("e1") < F.col("n1"))
     fragment = ~F.coalesce(closing | inside, F.lit(False)) & (F.coalesce("ra", F.lit(0.0)) < 3 * EVEN)
     partial = F.when(~F.col("name").startswith("\u0000") & F.col("known").isNull(), PARTIAL).otherwise(0.0)
-    by_rate = 2 * F.log(EVEN / F.greatest(F.col("rate"), F.lit(1e-4))) - prior + partial
+    # Where the last word alone closes many pages, rare longer forms of it do not speak for a cut.
+    rate = F.when(closing, F.greatest("rate", "r1")).otherwise(F.col("rate"))
+    by_rate = 2 * F.log(EVEN / F.greatest(rate, F.lit(1e-4))) - prior + partial
     ending = F.when(F.col("remnant"), 12.0).when(F.col("closed"), F.when(abbreviated, 6.0).otherwise(-4.0)).when(fragment, 6.0).otherwise(by_rate)
     odds = F.when(post.isNotNull(), F.log(post / (1 - post)) + F.greatest(ending, F.lit(-4.0))).otherwise(prior + ending)
-    return j.select("key", "source", post.alias("at_limit"), "remnant", "closed", "ending", "rate", F.when(F.col("blank"), F.lit(-20.0)).otherwise(odds).alias("log_odds"))
+    return j.select("key", "source", post.alias("at_limit"), "remnant", "closed", "ending", rate.alias("rate"), F.when(F.col("blank"), F.lit(-20.0)).otherwise(odds).alias("log_odds"))

@@ -54,6 +54,23 @@ def test_finds_cut_pages(spark, corpus):
     assert len(found & cut) / len(cut) > 0.93 and len(found & cut) / len(found) > 0.93
 
 
+def test_closing_phrases_do_not_hide_cut_words(spark):
+    r = random.Random(11)
+    rows, cut = [], set()
+    phrase = "so they met to the general satisfaction"
+    for i in range(600):
+        body = f"{phrase}\n".join(page(r, 60).rstrip("\n") + "\n" for _ in range(5))
+        if i % 2:
+            rows.append((i, body + phrase + ".", "a", "x"))
+        elif i % 40 == 0:
+            cut.add(i)
+            rows.append((i, body + phrase[: -3 - i // 40 % 6], "a", "x"))
+        else:
+            rows.append((i, body.rstrip("\n") + ".", "a", "x"))
+    found = {r["key"] for r in truncation.cut_pages(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", "source").where("log_odds > 0").collect()}
+    assert cut <= found and len(found - cut) <= 6
+
+
 def test_limits_are_found(spark, corpus):
     rows, _ = corpus
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("source", "length(text) AS chars", "octet_length(text) AS bytes", "xxhash64(text) AS same")

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_LEN = 64
-#: Tables reach from FIRST to LAST; rules of the zone beyond LAST repeat the last offset.
-FIRST, LAST = 0, 4_102_444_800
+#: Tables reach from year 1 to 2500. The last rules of a zone repeat with the calendar, every 400 years (CYCLE), beyond LAST.
+FIRST, LAST, CYCLE = -62_135_596_800, 16_725_225_600, 12_622_780_800
 INSTANT, AMBIGUOUS, NONEXISTENT, UNREADABLE = range(4)
 OUTCOMES = np.array(["instant", "ambiguous", "nonexistent", "unreadable"])
 MONTHS = {m: i + 1 for i, m in enumerate(["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"])}
@@ -67,7 +67,8 @@ class Zone:
     standard: dict = field(default_factory=dict)
 
     def to_utc(self, local: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        i = np.searchsorted(self.local, local, side="right")
+        within = local - np.maximum((local - LAST) // CYCLE + 1, 0) * CYCLE
+        i = np.searchsorted(self.local, within, side="right")
         return self.state[i], local - self.offset[i]
 
 
@@ -260,7 +261,9 @@ def clock_from_table(spark: SparkSession, zone_rows: list[dict], key: str, zone:
     for r in sorted((r for r in zone_rows if r[key] is not None), key=lambda r: r[key]):
         z, abbr = zones.get(r[zone]), {}
         if z is not None:
-            low, high = int(z.offset[-4:].min()), int(z.offset[-4:].max())
+            # Abbreviations are those in use, so older offsets than those of 1970 do not count.
+            last = z.offset[np.searchsorted(z.local, 0, side="right") :][-4:]
+            low, high = int(last.min()), int(last.max())
             if r[std_abbr]:
                 abbr[r[std_abbr]] = low
             if r[dst_abbr]:

@@ -88,6 +88,18 @@ def test_rows_and_empty_table(spark, clock):
     assert normalise_instants(spark.createDataFrame([], schema), "fleet_id", "t", "fleet_id", clock).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text,outcome,second",
+    [
+        ("1965-07-01 12:00:00", "instant", utc(1965, 7, 1, 16)), ("1965-01-15 12:00:00", "instant", utc(1965, 1, 15, 17)), ("1965-10-31 01:30:00", "ambiguous", 0), ("1965-04-25 02:30:00", "nonexistent", 0),
+        ("2150-07-01 12:00:00", "instant", utc(2150, 7, 1, 16)), ("2950-07-01 12:00:00", "instant", utc(2950, 7, 1, 16)), ("2950-01-01 12:00:00", "instant", utc(2950, 1, 1, 17)), ("9999-12-31 12:00:00", "instant", utc(9999, 12, 31, 17)),
+    ],
+)
+def test_rules_hold_before_1970_and_after_2100(clock, text, outcome, second):
+    code, at = clock.batch(pa.array([text]), pa.array([1]))
+    assert (OUTCOMES[code[0]], at[0]) == (outcome, second)
+
+
 def test_a_mask_is_compiled_once():
     parser_of.cache_clear()
     parser_of("9999-99-99")

@@ -123,6 +123,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return records.failed_records(table(spark, d, "bug4e"), "line", RECORD, "line_no").select("line_no", "reason")
 
 
+@catalog.query("p6_failed")
+def p6_failed(spark: SparkSession, d: str) -> DataFrame:
+    """Failed records with the first field that their pattern's prefixes do not reach."""
+    return records.failed_records(table(spark, d, "bug4e"), "line", RECORD, "line_no")
+
+
 @catalog.query(
     "p6_rows",
     "SELECT line_no, "

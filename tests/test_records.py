@@ -27,6 +27,16 @@ def test_cases(spark):
     assert good == {i for i, c in enumerate(CASES) if c[1] is None}
 
 
+def test_failed_query_gives_the_broken_field(spark):
+    import __spark_entry__ as entry
+
+    small = "/root/testdata/sf0.001"
+    got = entry.queries()["p6_failed"](spark, small)
+    assert got.columns == ["line_no", "reason", "broken_field"]
+    assert got.where("broken_field IS NULL OR broken_field NOT BETWEEN 1 AND 6").count() == 0
+    assert sorted(map(tuple, got.select("line_no", "reason").collect())) == sorted(map(tuple, entry.queries()["p6_found"](spark, small).collect()))
+
+
 def test_values_and_empty(spark):
     df = spark.createDataFrame([(7, ' 1,"02",3 ,-4.50,"6"')], "line_no long, line string")
     assert tuple(records.load_records(df, "line", RECORD, "line_no").first()) == (7, 1, 2, 3, -4.5, 6.0)

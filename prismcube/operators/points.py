@@ -63,21 +63,24 @@ def _y_at(e: np.ndarray, x: float | np.ndarray) -> np.ndarray:
 
 
 class Slabs:
-    """Ordered slabs of one longitude stripe ``[west, east)``."""
+    """Ordered slabs of one longitude stripe ``[west, east)``.
+
+    An id may come with several regions; a point in any of them is in the id once.
+    """
 
     def __init__(self, regions: list[tuple[int, list[np.ndarray]]], west: float, east: float):
         parts, owner = [], []
-        for rid, rings in regions:
+        for part, (_, rings) in enumerate(regions):
             for r in rings:
                 e = np.hstack([r[:-1], r[1:]])
                 e = e[e[:, 0] != e[:, 2]]
                 e = np.where((e[:, 0] < e[:, 2])[:, None], e, e[:, [2, 3, 0, 1]])
                 e = e[(e[:, 0] < east) & (e[:, 2] > west)]
                 parts.append(e)
-                owner += [rid] * len(e)
+                owner += [part] * len(e)
         edges = np.vstack(parts) if parts else np.zeros((0, 4))
         own = np.array(owner, np.int64)
-        self.rings = dict(regions)
+        self.regions = regions
         self.sets: list[np.ndarray] = [np.zeros(0, np.int64)]
         seen = {(): 0}
         xs = np.unique(np.clip(edges[:, [0, 2]], west, east)) if len(edges) else np.zeros(0)
@@ -89,9 +92,9 @@ class Slabs:
                 order = here[np.argsort(_y_at(edges[here], (lo + hi) / 2), kind="stable")]
                 inside: set[int] = set()
                 gap = [0]
-                for rid in own[order].tolist():
-                    inside ^= {rid}
-                    key = tuple(sorted(inside))
+                for part in own[order].tolist():
+                    inside ^= {part}
+                    key = tuple(sorted({regions[p][0] for p in inside}))
                     if key not in seen:
                         seen[key] = len(self.sets)
                         self.sets.append(np.array(key, np.int64))
@@ -154,14 +157,14 @@ class Slabs:
     def _exactly(self, x: float, y: float) -> list[int]:
         """Regions of a point that lies all but on a border, in rational numbers."""
         px, py, out = Fraction(repr(float(x))), Fraction(repr(float(y))), []
-        for rid, rings in self.rings.items():
+        for rid, rings in self.regions:
             odd = False
             for ring in rings:
                 for (x1, y1), (x2, y2) in zip(ring[:-1].tolist(), ring[1:].tolist()):
                     if (x1 <= x) != (x2 <= x):
                         fx1, fy1, fx2, fy2 = (Fraction(repr(v)) for v in (x1, y1, x2, y2))
                         odd ^= fy1 + (px - fx1) * (fy2 - fy1) / (fx2 - fx1) <= py
-            if odd:
+            if odd and rid not in out:
                 out.append(rid)
         return out
 
@@ -181,8 +184,8 @@ def region_slabs(regions: DataFrame, region_id: str, wkt: str, stripe_deg: float
             yield pd.DataFrame({"stripe": np.array(at, np.int64), "rid": np.array(rid, np.int64), "wkt": pd.Series(text, dtype=object)})
 
     def build(key, pdf):
-        # Sorted and unique, so that a region listed twice counts once.
-        own = sorted(dict(zip(pdf["rid"].tolist(), pdf["wkt"])).items())
+        # Sorted and unique, so that a region listed twice counts once; other texts of the same id are further regions of it.
+        own = sorted(set(zip(pdf["rid"].tolist(), pdf["wkt"])))
         slabs = Slabs([(i, rings_of(w)) for i, w in own], key[0] * stripe_deg, (key[0] + 1) * stripe_deg)
         return pd.DataFrame({"stripe": [key[0]], "slabs": [pickle.dumps(slabs)]})
 

@@ -63,6 +63,15 @@ def test_regions_like_brute_force(spark, limit):
     assert got == want
 
 
+@pytest.mark.parametrize("limit", [1 << 26, 0])
+def test_regions_of_one_id_in_several_rows(spark, limit):
+    rows = [(7, "POLYGON ((0 0, 2 0, 2 2, 0 2, 0 0))"), (7, "POLYGON ((0 1, 2 1, 2 3, 0 3, 0 1))"), (7, "POLYGON ((0 1, 2 1, 2 3, 0 3, 0 1))")]
+    zones = spark.createDataFrame(rows, "zone_id int, ring string")
+    df = spark.createDataFrame([(1, 0.5, 1.1), (2, 1.5, 1.1), (3, 2.5, 1.1), (4, 3.5, 1.1), (5, 1.0, 1.1)], "k long, lat double, lon double")
+    got = sorted(tuple(x) for x in points.points_in_regions(df, "k", {"p": ("lat", "lon")}, zones, "zone_id", "ring", broadcast_bytes=limit).collect())
+    assert got == [("p", 7, 1), ("p", 7, 2), ("p", 7, 3), ("p", 7, 5)]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "id long, lat double, lon double")
     zones = spark.createDataFrame([], "zone_id int, ring string")

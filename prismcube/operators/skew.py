@@ -11,7 +11,8 @@ Percentile ``p`` of ``n`` values is the value of rank ``ceil(p * n)``.
 
 Defined results: null keys belong to no key but count in the total of a share;
 null, NaN and infinite values count as rows but enter neither sums nor
-percentiles (null where none is left). Sums are exact in units of 0.000001.
+percentiles (null where none is left). Sums are exact in units of 0.000001;
+values from 1e22 on are added to them as doubles (infinite beyond their range).
 Extra columns are not read.
 """
 
@@ -69,7 +70,9 @@ def keyed_stats(df: DataFrame, key: Column, values: list[str], probs: dict[str,
     few = F.broadcast(heavy)
     sums = [F.count(F.lit(1)).alias("n_rows")]
     for i in range(len(values)):
-        sums += [F.sum(F.expr(f"try_cast(v{i} AS DECIMAL(28,6))")).cast("double").alias(f"s{i}")]
+        whole = F.expr(f"try_cast(v{i} AS DECIMAL(28,6))")
+        exact, large = F.sum(whole).cast("double"), F.sum(F.when(whole.isNull(), F.col(f"v{i}")))
+        sums += [F.coalesce(exact + large, exact, large).alias(f"s{i}")]
     # Both branches keep partial sums, so a heavy key sends one row per map task.
     head = base.groupBy("key").agg(*sums)
     long = base.select("key", F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"v{i}").alias("v")) for i in range(len(values))])).alias("x")).select("key", "x.*").where("v IS NOT NULL")

@@ -31,6 +31,13 @@ def test_stats_like_brute_force(spark, share):
         assert got[k]["sum_v"] == (pytest.approx(sum(vs)) if vs else None)
 
 
+def test_sums_hold_large_values(spark):
+    rows = [("a", 1e22), ("a", 2e300), ("a", 1.5), ("b", -3e22), ("c", 0.25), ("c", 0.5)]
+    df = spark.createDataFrame(rows, "key string, v double")
+    got = {r["key"]: r["sum_v"] for r in skew.keyed_stats(df, F.col("key"), ["v"], {"p50": 0.5}).collect()}
+    assert got == {"a": pytest.approx(2e300), "b": -3e22, "c": 0.75}
+
+
 def test_heavy_keys(spark):
     rows, df = table(spark)
     got = {r["key"]: r["n"] for r in skew.heavy_keys(df, F.col("key"), 0.05).collect()}

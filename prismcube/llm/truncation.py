@@ -1,32 +1,34 @@
 """Pages cut off by field limits or broken transfers, and how often sources cut.
 
-Length evidence. Per source, in characters and in UTF-8 bytes, the greatest
-length is a candidate limit. A log-normal distribution of lengths, right-censored
-at the candidate, is fitted by maximum likelihood (expectation-maximisation on
-sufficient statistics) and held against an uncensored fit; the odds that the
-limit is real include that any length could have been the limit. A page at a
-real limit gets the posterior that its length is censored, not natural.
-
-Ending evidence. A break leaves remnants: a half-written character, entity or
-escape, a mark of omission, or blanks. Else the page's last words count. At
-the end of every line of every page stand three words (reaching back into the
-line before), with names, numbers and characters that scans confuse folded; for
-each such ending, how often a page ends with it is compared with how often a line
-inside a page does. Where pages close, the ratio is high; in the middle of a
-sentence or in a heading, a page ends only by a break. Rates are smoothed with
-those of shorter endings, and of the two words before whatever follows, for which
-only pages that end without a closing mark count. After a full stop or closing
-mark only an abbreviation speaks for a cut; a last word that hardly stands at the
-end of lines inside pages does, unless it closes many pages, and a last name that
-no line inside a page ends with speaks for one. The page itself is left out of
-its own count. How many lines or pages are few grows with the number of pages.
-
-The log-odds of the ending are added to those of the prior, or at a real limit to
-those of the censoring posterior.
+Length evidence. Per source, in characters and in UTF-8 bytes, every length that
+stands out from the lengths just below it is a candidate limit. At each candidate
+a log-normal distribution of lengths, right-censored there, is fitted by maximum
+likelihood (expectation-maximisation on sufficient statistics). It says how many
+pages would have that length by nature; the odds that the limit is real XX
+A page at a real limit gets the posterior that its length is censored, not natural.
+A limit that was raised later, or that holds for some feeds only, is found like one
+that holds for all.
+
+Ending evidence. A break may leave a remnant: a half-written character, entity or
+escape, a mark of omission, or blanks. How often pages that close end with such
+without being cut is learned per source. Below the remnant stand the last three
+words, with names, numbers and characters that scans confuse folded. A break can
+fall anywhere, so what cut pages end with is learned by breaking every page at
+``TRIALS`` places of its whole text, chosen by hash; what whole pages end with is
+learned from the pages, less the endings that so many breaks would leave. The
+ratio of both rates is taken step by step: for the class of the ending (closing
+mark, letter, digit, capitals; open quotation), the last word in it, the word
+before, and the one before that. A word or a phrase that was never seen gets the rate at
+which whole pages bring new ones. The page itself is left out of its own counts.
+
+The share of cut pages is fitted per source by expectation-maximisation over the
+evidence, drawn to that of the collection where a source has few pages. It, or at
+a limit the censoring posterior, and the evidence give the log-odds.
 
 Defined results: null, empty and blank texts are not cut; repeated pages count
 each; a null source is a source of its own. Texts of equal content count once in
-the fit of lengths, so that repeats do not look like a limit.
+the fit of lengths, so that repeats do not look like a limit. Of a word longer
+than ``REACH`` characters the last ``REACH`` count.
 """
 
 from __future__ import annotations
@@ -35,188 +37,269 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
 
-#: Share of cut pages assumed before any evidence.
-PRIOR = 0.05
-#: Fewest different pages at a limit, and bytes that a cut between characters may fall short of one.
-AT_LIMIT, SHORT = 3, 3
-#: Characters at the end of a line in which its last words are looked for.
-REACH = 80
-#: Weight of the shorter ending's rate in a longer one's.
-WEIGHT = 10.0
-#: A last word is known from so many lines inside of pages, or as the close of so many pages; each at least, and per page.
-KNOWN, CLOSING = (2, 0.0002), (5, 0.001)
-#: Log-odds that a last name which ends no line inside of a page is part of a longer one.
-PARTIAL = 3.5
-#: Rate of page ends among uses of an ending at which it speaks neither way; uses (at least, and per page) and rate of an abbreviation.
-EVEN, ABBREVIATION = 0.01, (50, 0.005, 0.003)
+#: Share of cut pages where the collection cannot tell it, and how many pages the collection's share weighs in that of a source.
+PRIOR, WEIGHT = 0.05, 50.0
+#: Fewest different pages at a limit; how often they exceed those of the lengths just below; bytes that a cut between characters may fall short of one; lengths below.
+AT_LIMIT, STANDS_OUT, SHORT, BELOW = 3, 3.0, 3, 64
+#: Characters of the last words, and places at which each page is broken to see what breaks leave.
+REACH, TRIALS = 80, 8
+#: Share of sources and units that have a limit.
+LIMITED = 0.05
+#: Share of breaks that leave blanks, and that leave another remnant.
+LEAVES = 0.3
+#: Weight of the rate of all words before in that of a pair, and of pairs in that of three words; least rate of new words.
+PAIR, TRIPLE, NEW = 5.0, 2.0, 0.002
+#: So many pages more than breaks explain, beside two standard deviations, may end alike by chance.
+CHANCE = 2.5
 
 #: Remnants of a broken transfer at the very end of a text (fixed forms of HTML, JSON, C and URL escapes).
-REMNANT = (
-    r"(?:\s|\x{FFFD}|…|\.\.\.|\[\s*(?:\.\.\.|…)\s*\]|\[(?:truncated|cut|more)\]|(?<![\s])--"
-    r"|&#?[A-Za-z0-9]{0,8}|&[A-Za-z]{2,8}|\\(?:u[0-9A-Fa-f]{0,3}|u00[0-9A-Fa-f]{0,2}|x[0-9A-Fa-f]{0,2})?|(?<![0-9])%[0-9A-Fa-f]{0,2}|<[/!]?[A-Za-z]{0,10})\z"
+_MARK = (
+    r"\x{FFFD}|…|\.\.\.|\[\s*(?:\.\.\.|…)\s*\]|\[(?:truncated|cut|more)\]|--"
+    r"|&#?[A-Za-z0-9]{0,8}|\\(?:u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]{0,2})?|(?<![0-9])%[0-9A-Fa-f]{0,2}|<[/!]?[A-Za-z]{0,10}"
 )
-_CLOSED = r"[.!?][\"'”’»)\]]*\z|\)\z|[”»]\z"
+REMNANT = rf"(?:\s|{_MARK})+\z"
+_CLOSING = r"(?:[.!?][\"'”’»)\]]*|\)|[”»])\z"
+#: Letters that scans take for each other, each group written as one.
+_LIKE = {"o": "cea0(éèêëáàâäãóòôöåç", "1": "ltfijsíìîï", "h": "b", "n": "urmvwúùûüñ"}
+_FROM, _TO = "".join(_LIKE.values()), "".join(k * len(v) for k, v in _LIKE.items())
 
 
-def _words(line: Column) -> Column:
-    """The last three words in the last ``REACH`` characters; fewer are filled up with ``^``."""
-    text = F.regexp_replace(F.concat(F.lit("^ ^ ^ "), F.rtrim(F.right(F.rtrim(line), F.lit(REACH)))), r"(?<=\S)-\s+|\s+", " ")
-    return F.substring_index(text, " ", -3)
+def _fold(c: Column) -> Column:
+    return F.regexp_replace(F.translate(F.lower(c), _FROM, _TO), "n{2,}", "n")
 
 
-def _ending(words: Column) -> Column:
-    """Words with names, numbers and letters that scans confuse folded."""
-    text = F.regexp_replace(words, r"\p{Lu}{2,}(?:['’]?\p{Lu}+)*", "@@")
-    text = F.regexp_replace(text, r"\p{Lu}\p{Ll}{4,}", "@")
-    return F.translate(F.lower(F.regexp_replace(text, "[0-9]+", "9")), "cea0ltfijhbnurmsv(", "oooo11111hhnnnnsno")
+def _opened(text: Column) -> Column:
+    """Whether a quotation stands open at the end of a text."""
+    one = lambda a, b: F.contains(text, F.lit(a)) & ~F.contains(F.substring_index(text, a, -1), F.lit(b))
+    return one("“", "”") | one("«", "»")
 
 
-def _name(words: Column) -> Column:
-    """The last word without marks around it, if it starts with a capital, else an empty text."""
-    return F.regexp_extract(F.substring_index(words, " ", -1), r"\A[^\p{L}]*(\p{Lu}[\p{L}'’]*)[^\p{L}]*\z", 1)
+def endings(df: DataFrame) -> DataFrame:
+    """``df`` with ``kind`` of ending, ``word`` and ``words``, from ``tail`` and ``opened``.
+
+    ``word`` is the kind and the last word, ``words`` the kind and the last three
+    with names folded too; fewer words are filled up with ``^``.
+    """
+    tail = F.regexp_replace(F.col("tail"), r"\s+\z|(?<=\S)-\s+", "")
+    df = df.withColumn("w", F.substring_index(F.regexp_replace(F.concat(F.lit("^ ^ ^ "), tail), r"\s+", " "), " ", -3)).drop("tail")
+    df = df.withColumn("closed", F.col("w").rlike(_CLOSING))
+    bare = F.when(F.col("closed"), F.regexp_replace("w", r"[.!?\"'”’»)\]]+\z", "")).otherwise(F.col("w"))
+    # Dots inside of words, and digits that stand for letters, come from scanning.
+    bare = F.regexp_replace(F.regexp_replace(bare, r"(?<=\p{L})\.+(?=\p{L})", ""), r"(?<=\p{L})[0-9]|[0-9](?=\p{L}{2,})", "o")
+    df = df.withColumn("w", F.regexp_replace(bare, "[0-9]+", "9"))
+    named = F.regexp_replace(F.regexp_replace("w", r"\p{Lu}{2,}(?:['’]?\p{Lu}+)*", "@@"), r"\p{Lu}\p{Ll}{4,}", "@")
+    df = df.withColumn("f", _fold(named)).withColumn("last", _fold(F.substring_index("w", " ", -1)))
+    own, end = F.substring_index("f", " ", -1), F.right(F.col("w"), F.lit(1))
+    shape = F.when(own.contains("@@"), "@@").when(own.contains("@"), "@").otherwise("w")
+    mark = F.when(F.col("closed"), ".").when(end.rlike("[0-9]"), "9").when(end.rlike(r"\p{Lu}"), "A").when(end.rlike(r"\p{L}"), "a").otherwise(end)
+    df = df.withColumn("kind", F.concat(F.when(F.col("opened"), "“").otherwise(""), mark, shape, F.lit("|")))
+    return df.withColumns({"word": F.concat("kind", "last"), "words": F.concat("kind", "f")}).drop("w", "f", "last", "opened")
 
 
 def length_fit(stats: pd.DataFrame) -> pd.DataFrame:
     """Log-odds that each candidate limit is real, and the posterior of a page there.
 
-    ``stats`` has a row per candidate: ``limit``, ``m`` pages at it, and number
-    ``n``, sum ``s1`` and sum of squares ``s2`` of the logarithms of the lengths below.
+    ``stats`` has a row per candidate: ``limit``, ``m`` pages at it, ``above`` it,
+    ``near`` pages expected there by the lengths just below, and number ``n``, sum
+    ``s1`` and sum of squares ``s2`` of the logarithms of the lengths below.
     """
-    erfc = np.vectorize(math.erfc)
-    n, m, s1, s2 = (stats[c].to_numpy(float) for c in ("n", "m", "s1", "s2"))
-    limit = stats["limit"].to_numpy(float)
-    c = np.log(np.maximum(limit, 1))
-    tot = np.maximum(n + m, 1)
-
-    def tail(z):
-        """Survival and hazard of the standard normal."""
-        s = np.maximum(0.5 * erfc(z / math.sqrt(2)), 1e-300)
-        return s, np.exp(-0.5 * z * z) / math.sqrt(2 * math.pi) / s
-
-    mu0 = (s1 + m * c) / tot
-    var0 = np.maximum((s2 + m * c * c) / tot - mu0**2, 1e-4)
-    mu, var = mu0.copy(), var0.copy()
+    erfc = np.vectorize(math.erfc, otypes=[float])
+    n, m, above, near, s1, s2 = (stats[c].to_numpy(float) for c in ("n", "m", "above", "near", "s1", "s2"))
+    limit, width = stats["limit"].to_numpy(float), stats["width"].to_numpy(float) + 1
+    c, over = np.log(np.maximum(limit, 1)), m + above
+    tot = np.maximum(n + over, 1)
+    mu = (s1 + over * c) / tot
+    var = np.maximum((s2 + over * c * c) / tot - mu**2, 1e-4)
     for _ in range(200):
         sd = np.sqrt(var)
         z = (c - mu) / sd
-        _, h = tail(z)
-        e1 = mu + sd * h
-        e2 = mu**2 + var + sd * h * (c + mu)
-        mu = (s1 + m * e1) / tot
-        var = np.maximum((s2 + m * e2) / tot - mu**2, 1e-4)
-
-    def inner(mu, var):
-        """Log-likelihood of the lengths below the limit."""
-        return -0.5 * n * np.log(2 * math.pi * var) - 0.5 * (s2 - 2 * mu * s1 + n * mu**2) / var - s1
-
-    def density(mu, var):
-        return np.exp(-0.5 * (c - mu) ** 2 / var) / np.sqrt(2 * math.pi * var) / np.maximum(limit, 1)
-
-    surv, _ = tail((c - mu) / np.sqrt(var))
-    one = inner(mu, var) + m * np.log(surv)
-    none = inner(mu0, var0) + m * np.log(np.maximum(density(mu0, var0), 1e-300))
-    odds = one - none - c
-    at = stats["width"].to_numpy(float) + 1
-    natural = np.minimum(0.99, tot * density(mu, var) * at / np.maximum(m, 1))
+        hazard = np.exp(-0.5 * z * z) / math.sqrt(2 * math.pi) / np.maximum(0.5 * erfc(z / math.sqrt(2)), 1e-300)
+        e1, e2 = mu + sd * hazard, mu**2 + var + sd * hazard * (c + mu)
+        mu = (s1 + over * e1) / tot
+        var = np.maximum((s2 + over * e2) / tot - mu**2, 1e-4)
+    surviving = 0.5 * erfc((c - mu) / np.sqrt(2 * var))
+    density = np.exp(-0.5 * (c - mu) ** 2 / var) / np.sqrt(2 * math.pi * var) / np.maximum(limit, 1)
+    natural = np.maximum(np.maximum(tot * density * width, near), 1e-3)
+    odds = np.where(m > natural, m * np.log(np.maximum(m, 1) / natural) - (m - natural) - c + math.log(LIMITED), -50.0)
     real = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
-    cut = np.where(m >= AT_LIMIT, real * (1 - natural), 0.0)
-    return stats.assign(odds=odds, posterior=cut, surviving=surv)
+    cut = np.where(m >= AT_LIMIT, real * (1 - np.minimum(0.99, natural / np.maximum(m, 1))), 0.0)
+    return stats.assign(odds=odds, posterior=cut, surviving=surviving)
 
 
 def limits(pages: DataFrame) -> DataFrame:
-    """``source, unit, limit, width, n, m, odds, posterior`` per source and unit of length."""
+    """``source, unit, limit, width, n, m, odds, posterior`` of every candidate limit."""
     lens = pages.select("source", "chars", "bytes", "same").distinct()
-    hist = lens.select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("len")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("len")))).alias("x"))
-    hist = hist.groupBy("source", F.col("x.unit").alias("unit"), F.col("x.len").alias("len")).agg(F.count(F.lit(1)).alias("c")).where("len > 0")
-    width = F.when(F.col("unit") == "bytes", F.lit(SHORT)).otherwise(F.lit(0))
-    top = hist.groupBy(F.col("source").alias("s_"), F.col("unit").alias("u_")).agg(F.max("len").alias("limit"))
-    both = hist.join(F.broadcast(top), F.col("source").eqNullSafe(F.col("s_")) & (F.col("unit") == F.col("u_"))).select("source", "unit", "limit", "len", "c")
-    at, log = F.col("len") >= F.col("limit") - width, F.log(F.col("len").cast("double"))
-    below = F.when(~at, F.col("c"))
-    stats = both.groupBy("source", "unit", "limit").agg(
-        F.coalesce(F.sum(F.when(at, F.col("c"))), F.lit(0)).cast("double").alias("m"),
-        F.coalesce(F.sum(below), F.lit(0)).cast("double").alias("n"),
-        F.coalesce(F.sum(below * log), F.lit(0.0)).alias("s1"),
-        F.coalesce(F.sum(below * log * log), F.lit(0.0)).alias("s2"),
-    )
-    stats = stats.withColumn("width", width)
-    schema = "source string, unit string, limit long, m double, n double, s1 double, s2 double, width int, odds double, posterior double, surviving double"
-    return stats.withColumn("limit", F.col("limit").cast("long")).mapInPandas(lambda it: (length_fit(p) for p in it if len(p)), schema)
-
-
-def ending_rates(counts: DataFrame) -> DataFrame:
-    """``ending, n1, e1, r1, ra, rate`` for every ending of a page.
-
-    ``counts`` has ``ending``, lines ``n`` and lines that end a page ``e``, maybe in several rows.
-    ``n1``, ``e1`` and ``r1`` are uses, uses that end a page, and rate of the last
-    word, ``ra`` the rate after the two words before it, ``rate`` that of the whole.
-    Pages that close with a mark do not count in ``ra``: they say where sentences end,
-    not that a page may end there without one.
+    each = F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).cast("long").alias("limit"), F.lit(w).alias("width")) for u, w in (("chars", 0), ("bytes", SHORT))])
+    hist = lens.select("source", F.explode(each).alias("x")).select("source", "x.*").groupBy("source", "unit", "limit", "width").agg(F.count(F.lit(1)).alias("c")).where("limit > 0")
+    # As many rows to a source as it has different lengths.
+    out = []
+    for unit, width in (("chars", 0), ("bytes", SHORT)):
+        w = Window.partitionBy("source").orderBy("limit")
+        at, below, near = w.rangeBetween(-width, 0), w.rangeBetween(Window.unboundedPreceding, -width - 1), w.rangeBetween(-width - BELOW, -width - 1)
+        log, c = F.log(F.col("limit").cast("double")), F.col("c").cast("double")
+        total = lambda x, over: F.coalesce(F.sum(x).over(over), F.lit(0.0))
+        h = hist.where(F.col("unit") == unit).withColumns(
+            {"m": total(c, at), "n": total(c, below), "s1": total(c * log, below), "s2": total(c * log * log, below), "all": total(c, Window.partitionBy("source")), "near": total(c, near) * (width + 1) / BELOW}
+        )
+        out.append(h.where((F.col("m") >= AT_LIMIT) & (F.col("m") >= STANDS_OUT * F.col("near"))).withColumn("above", F.col("all") - F.col("m") - F.col("n")).drop("all", "c"))
+    stats = out[0].unionByName(out[1])
+    fields = "source string, unit string, limit long, width int, m double, n double, s1 double, s2 double, near double, above double"
+    cols = [x.split()[0] for x in fields.split(", ")]
+    return stats.select(*cols).mapInPandas(lambda it: (length_fit(p) for p in it if len(p)), fields + ", odds double, posterior double, surviving double")
+
+
+def _levels(df: DataFrame) -> DataFrame:
+    kind = F.substring_index("words", "|", 1)
+    tail = F.substring(F.col("words"), F.length(kind) + F.lit(2), F.length("words"))
+    part = lambda k: F.concat(kind, F.lit("|"), F.substring_index(tail, " ", k))
+    return df.withColumns({"kind": kind, "one": part(-1), "two": part(-2)})
+
+
+def ending_odds(counts: DataFrame) -> DataFrame:
+    """``word, words, evidence``: how much likelier breaks leave an ending than whole pages.
+
+    ``counts`` has, per ``word`` and ``words``, the pages ``p`` that end so, those
+    ``n`` of them that count for whole pages, and the trial breaks ``s``; it is read
+    several times.
     """
-    e = counts.groupBy("ending").agg(F.sum("e").alias("e3"), F.sum("n").alias("n3"))
-    e = e.select("ending", "e3", "n3", F.substring_index("ending", " ", -1).alias("one"), F.substring_index("ending", " ", -2).alias("two"), F.substring_index("ending", " ", 2).alias("pre"))
-    e = e.withColumn("open3", F.when(F.col("ending").rlike(_CLOSED), 0).otherwise(F.col("e3")))
-    j = e.where("e3 > 0")
-    for name, k, ends in (("one", "1", "e3"), ("two", "2", "e3"), ("pre", "a", "open3")):
-        j = j.join(e.groupBy(name).agg(F.sum(ends).alias("e" + k), F.sum("n3").alias("n" + k), F.sum("e3").alias("any")).where("any > 0").drop("any"), name)
-
-    def rate(k: str, back: Column, weight: float) -> Column:
-        return (F.greatest(F.col("e" + k) - 1, F.lit(0)) + weight * back) / (F.col("n" + k) - 1 + weight)
-
-    r1 = rate("1", F.lit(EVEN), WEIGHT / 2)
-    ra = F.when(F.col("na") > 2 * WEIGHT, rate("a", F.lit(EVEN / 5), WEIGHT)).otherwise(F.lit(0.0))
-    whole = F.greatest(rate("3", rate("2", r1, WEIGHT), WEIGHT), ra)
-    return j.select("ending", "n1", "e1", r1.alias("r1"), ra.alias("ra"), whole.alias("rate"))
+    j = _levels(counts)
+    kinds = j.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    # A few hundred kinds at most: a character, a shape, and whether a quotation is open.
+    seen = [(r["n"], r["s"]) for r in kinds.collect()]
+    n, m = sum(x for x, _ in seen), sum(x for _, x in seen)
+    e = j.where("p > 0")
+    for k, col in (("0", "kind"), ("1", "word"), ("a", "one"), ("2", "two"), ("3", "words")):
+        e = e.join(j.groupBy(col).agg(F.sum("p").alias("p_"), F.sum("n").alias("n" + k), F.sum("s").alias("s" + k)).where("p_ > 0").drop("p_"), col)
+    e = materialise(e, "levels")
+    # Whole pages hardly ever end in some of the ways that breaks leave, so there pages tell the share of breaks;
+    # it is fitted to the evidence it leads to.
+    rare = [(x, y) for x, y in seen if y >= max(1, 0.01 * m)]
+    least = min(((x + math.sqrt(x) + 1) / y for x, y in rare), default=0.0)
+    low = [(x, y) for x, y in rare if x <= 3 * least * y]
+    start = min(0.5, (sum(x for x, _ in low) + 1) / (sum(y for _, y in low) + 1) * m / max(n, 1)) if low else PRIOR
+    share = share_of_all(_evidence(e, start, n, m).select(F.round(F.col("evidence") * 4).cast("int").alias("e"), "n"), start)
+    return _evidence(e, share, n, m).select("word", "words", "evidence")
+
+
+def _evidence(e: DataFrame, share: float, n: int, m: int) -> DataFrame:
+    """Evidence of endings if ``share`` of ``n`` pages are cut where ``m`` trial breaks fall."""
+    f = share * n / max(m, 1)
+
+    def left(k: str) -> Column:
+        """Pages of a group that breaks do not explain, or none where chance could."""
+        due = F.col("s" + k) * f
+        return F.when(F.col("n" + k) - due > 2 * F.sqrt(due) + CHANCE, F.col("n" + k) - due).otherwise(0.0)
+
+    def carried(e: DataFrame, k: str, col: str, of: str) -> DataFrame:
+        """What is left in a group: at least what is left in its parts."""
+        sums = e.groupBy(col).agg(F.sum(F.when(F.col("n" + of) > 0, F.col("n") * F.col("c" + of) / F.col("n" + of)).otherwise(0.0)).alias("parts"))
+        return e.join(sums, col).withColumn("c" + k, F.greatest(left(k), "parts")).drop("parts")
+
+    e = carried(e.withColumn("c3", left("3")), "1", "word", "3")
+    e = carried(carried(e, "2", "two", "3"), "a", "one", "2")
+    # New words of whole pages, by kind: what is left of pages with words not known, less what breaks leave of such.
+    word = e.groupBy("kind", "word").agg(F.first("n1").alias("n"), F.first("s1").alias("s"), F.first("c1").alias("c"))
+    known = word.groupBy("kind").agg(F.sum(F.when(F.col("c") >= 1, F.col("n")).otherwise(0)).alias("kn"), F.sum(F.when(F.col("c") >= 1, F.col("s")).otherwise(0)).alias("ks"), F.sum("c").alias("kc"))
+    e = e.join(known, "kind")
+    fresh = F.greatest(F.col("n0") - F.col("kn") - f * (F.col("s0") - F.col("ks")), F.lit(0.0))
+    e = e.withColumn("new", F.greatest((fresh + 0.5) / (F.col("kc") + fresh + 1), F.lit(NEW))).withColumn("c0", F.col("kc") + fresh)
+    # The page that ends so is left out of the counts.
+    own = {"c" + k: F.when(F.col("n" + k) > 1, F.col("c" + k) * (1 - 1 / F.col("n" + k))).otherwise(0.0) for k in "1a23"}
+    e = e.withColumns(own)
+    q = lambda k, of: (F.col("s" + k) + 0.5) / (F.col("s" + of) + 1)
+    fresh_word = F.col("new") * F.greatest("c0", F.lit(1.0))
+    kind = F.log((F.col("s0") + 1) / (m + 10)) - F.log((F.col("c0") + 0.5) / (n + 10))
+    last = F.log(q("1", "0")) - F.log((F.col("c1") + F.least(fresh_word * q("1", "0"), F.lit(0.5))) / (F.col("c0") + fresh_word + 0.5))
+
+    def step(k: str, of: str, weight: float) -> Column:
+        w = weight + NEW * F.col("c" + of)
+        return F.log(q(k, of)) - F.log((F.col("c" + k) + w * q(k, of)) / (F.col("c" + of) + w))
+
+    return e.select("word", "words", "n", (kind + last + step("2", "a", PAIR) + step("3", "2", TRIPLE)).alias("evidence"))
+
+
+def share_fit(evidence: np.ndarray, pages: np.ndarray, start: float) -> float:
+    """Share of cut pages of a source, from the evidence of its pages."""
+    ratio, share = np.exp(np.clip(evidence, -40, 40)), start
+    for _ in range(50):
+        post = share * ratio / (share * ratio + 1 - share)
+        share = float(((post * pages).sum() + WEIGHT * start) / (pages.sum() + WEIGHT))
+    return share
 
 
 def cut_pages(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """``key, source, at_limit, remnant, closed, ending, rate, log_odds`` for every page; cut if above 0."""
+    """``key, source, at_limit, remnant, closed, evidence, share, log_odds`` for every page; cut if above 0.
+
+    ``evidence`` is that of the ending, ``share`` the source's share of pages cut
+    away from limits, ``at_limit`` the posterior of a length at a limit.
+    """
     base = docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
     t = F.col("text")
-    body = F.regexp_replace(t, r"\s+\z", "")
-    blank = t.isNull() | (body == "")
-    tail = F.right(t, F.lit(160))
-    # Pages without an ending or a name get one that meets nothing, many of them, so that they do not gather in one task.
-    spare = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("key", t), F.lit(1009)).cast("string"))
+    # What a break left is looked for in the last characters; a longer run of it is blanks or marks all the same.
+    rest = F.regexp_extract(F.right(t, F.lit(2 * REACH)), REMNANT, 0)
+    base = base.withColumn("rest", F.coalesce(rest, F.lit("")))
+    body = F.regexp_replace(F.left(t, F.length(t) - F.length("rest")), r"\s+\z", "")
+    base = base.withColumn("body", F.coalesce(body, F.lit("")))
+    blank = F.col("body") == ""
     rows = base.select(
-        "key", "source", F.coalesce(F.length(t), F.lit(0)).alias("chars"), F.coalesce(F.octet_length(t), F.lit(0)).alias("bytes"), F.xxhash64(t).alias("same"), blank.alias("blank"),
-        F.coalesce(tail.rlike(REMNANT), F.lit(False)).alias("remnant"),
-        F.coalesce(F.rtrim(tail).rlike(_CLOSED), F.lit(False)).alias("closed"),
-        F.when(blank, spare).alias("spare"), spare.alias("any"), _words(F.substring_index(body, "\n", -2)).alias("words"),
+        "key", "source", F.coalesce(F.length(t), F.lit(0)).alias("chars"), F.coalesce(F.octet_length(t), F.lit(0)).alias("bytes"), F.xxhash64(t).alias("same"), (t.isNull() | (F.trim(t) == "") | blank).alias("blank"),
+        F.when(F.col("rest") == "", 0).when(F.col("rest").rlike(r"\A\s+\z"), 1).otherwise(2).alias("remnant"), F.right(F.col("body"), F.lit(REACH)).alias("tail"), _opened(F.col("body")).alias("opened"),
     )
-    name = _name(F.col("words"))
-    ending = F.coalesce(F.col("spare"), _ending(F.col("words"))).alias("ending")
-    name = F.coalesce("spare", F.when(name != "", name), "any").alias("name")
-    rows = materialise(rows.select("key", "source", "chars", "bytes", "same", "blank", "remnant", "closed", ending, name), "pages")
-    pages = rows.count()
-    line = base.where(~blank).select(F.split(body, "\n").alias("ls")).select("ls", F.posexplode("ls").alias("i", "x"))
-    before = F.coalesce(F.get("ls", F.col("i") - 1), F.lit(""))
-    line = line.where("x <> ''").select(_words(F.concat(before, F.lit("\n"), "x")).alias("w"), (F.col("i") == F.size("ls") - 1).cast("long").alias("last"))
-    # One pass over the lines serves endings and names.
-    counts = line.select(_ending(F.col("w")).alias("ending"), _name(F.col("w")).alias("name"), "last").groupBy("ending", "name").agg(F.sum("last").alias("e"), F.count(F.lit(1)).alias("n"))
-    counts = materialise(counts, "endings")
-    rates = ending_rates(counts)
-    names = counts.where("name <> '' AND n > e").select("name").distinct().withColumn("known", F.lit(True))
+    rows = materialise(endings(rows), "pages")
+
+    # Limits; a cut between characters may fall short of one in bytes.
     real = limits(rows).where("posterior > 0.5")
-    # Few rows: one per source, with the unit that fits best.
-    best = real.groupBy(F.col("source").alias("s_")).agg(F.max(F.struct("odds", "unit", (F.col("limit") - F.col("width")).alias("from"), "posterior")).alias("lim"))
-    j = rows.join(F.broadcast(best), F.col("source").eqNullSafe(F.col("s_")), "left").join(rates, "ending", "left").join(names, "name", "left")
-    post = F.when(F.when(F.col("lim.unit") == "chars", F.col("chars")).otherwise(F.col("bytes")) >= F.col("lim.from"), F.least(F.col("lim.posterior"), F.lit(0.9999)))
-    prior = math.log(PRIOR / (1 - PRIOR))
-    abbreviated = (F.col("n1") >= max(ABBREVIATION[0], ABBREVIATION[1] * pages)) & (F.col("r1") < ABBREVIATION[2])
-    word = F.substring_index("ending", " ", -1)
-    closing = (F.col("e1") >= max(CLOSING[0], CLOSING[1] * pages)) & (F.length(word) >= 4)
-    inside = (F.col("n1") - F.col("e1") >= max(KNOWN[0], KNOWN[1] * pages)) & (2 * F.col("e1") < F.col("n1"))
-    fragment = ~F.coalesce(closing | inside, F.lit(False)) & (F.coalesce("ra", F.lit(0.0)) < 3 * EVEN)
-    partial = F.when(~F.col("name").startswith("\u0000") & F.col("known").isNull(), PARTIAL).otherwise(0.0)
-    # Where the last word alone closes many pages, rare longer forms of it do not speak for a cut.
-    rate = F.when(closing, F.greatest("rate", "r1")).otherwise(F.col("rate"))
-    by_rate = 2 * F.log(EVEN / F.greatest(rate, F.lit(1e-4))) - prior + partial
-    ending = F.when(F.col("remnant"), 12.0).when(F.col("closed"), F.when(abbreviated, 6.0).otherwise(-4.0)).when(fragment, 6.0).otherwise(by_rate)
-    odds = F.when(post.isNotNull(), F.log(post / (1 - post)) + F.greatest(ending, F.lit(-4.0))).otherwise(prior + ending)
-    return j.select("key", "source", post.alias("at_limit"), "remnant", "closed", "ending", rate.alias("rate"), F.when(F.col("blank"), F.lit(-20.0)).otherwise(odds).alias("log_odds"))
+    real = real.select("source", "unit", "posterior", F.explode(F.sequence(F.col("limit") - F.col("width"), F.col("limit"))).alias("len"))
+    real = materialise(real.groupBy("source", "unit", "len").agg(F.max("posterior").alias("posterior")), "limits")
+    for unit in ("chars", "bytes"):
+        r = real.where(F.col("unit") == unit).select(F.col("source").alias("s_"), F.col("len").alias("len_"), F.col("posterior").alias("at_" + unit))
+        rows = rows.join(r, F.col("source").eqNullSafe(F.col("s_")) & (F.col(unit) == F.col("len_")), "left").drop("s_", "len_")
+    rows = rows.withColumn("at_limit", F.greatest("at_chars", "at_bytes"))
+    whole = ~F.col("blank") & F.col("at_limit").isNull() & (F.col("remnant") == 0)
+
+    # What pages end with, and what breaks anywhere in them would leave.
+    places = F.transform(F.sequence(F.lit(1), F.lit(TRIALS)), lambda i: F.lit(1) + F.pmod(F.xxhash64("h", i), F.col("size")).cast("int"))
+    broken = base.where(~blank).select("body", F.xxhash64("text").alias("h"), F.length("body").cast("long").alias("size")).select("body", places.alias("places"))
+    left = F.transform("places", lambda at: F.struct(F.substring(F.substring(F.col("body"), F.lit(1), at), F.lit(-REACH), F.lit(REACH)).alias("tail"), _opened(F.substring(F.col("body"), F.lit(1), at)).alias("opened")))
+    trial = endings(broken.select(F.explode(left).alias("x")).select("x.*")).groupBy("word", "words").agg(F.count(F.lit(1)).alias("s"))
+    zero = F.lit(0).cast("long")
+    ends = rows.where("NOT blank").groupBy("word", "words").agg(F.count(F.lit(1)).alias("p"), F.sum(whole.cast("long")).alias("n"))
+    counts = ends.withColumn("s", zero).unionByName(trial.withColumns({"p": zero, "n": zero}))
+    odds = ending_odds(materialise(counts.groupBy("word", "words").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum("s").alias("s")), "endings"))
+
+    # How often pages that close end with each remnant: per source, drawn to that of all, less what cuts at the end of sentences leave.
+    kinds = rows.where("closed AND NOT blank").groupBy("source").agg(F.count(F.lit(1)).alias("n"), *[F.sum((F.col("remnant") == k).cast("long")).alias(f"r{k}") for k in (1, 2)])
+    every = kinds.agg(F.sum("n").alias("n"), F.sum("r1").alias("r1"), F.sum("r2").alias("r2")).first()
+    usual = lambda k: F.greatest(F.col(f"r{k}") - 0.002 * F.col("n") - 2, F.lit(0.0))
+    mean = {k: max((every[f"r{k}"] or 0) - 0.002 * (every["n"] or 0), 0.5) / ((every["n"] or 0) + 1) for k in (1, 2)}
+    kinds = kinds.select(F.col("source").alias("s_"), *[((usual(k) + WEIGHT * mean[k]) / (F.col("n") + WEIGHT)).alias(f"r{k}") for k in (1, 2)])
+    rows = rows.join(odds, ["word", "words"], "left").join(kinds, F.col("source").eqNullSafe(F.col("s_")), "left").drop("s_")
+    r1, r2 = (F.coalesce(F.col(f"r{k}"), F.lit(mean[k])) for k in (1, 2))
+    left_so = F.when(F.col("remnant") == 1, F.log(LEAVES / r1)).when(F.col("remnant") == 2, F.log(LEAVES / r2)).otherwise(F.log((1 - 2 * LEAVES) / F.greatest(1 - r1 - r2, F.lit(0.01))))
+    rows = rows.select("key", "source", "blank", "at_limit", (F.col("remnant") > 0).alias("remnant"), "closed", (F.coalesce("evidence", F.lit(0.0)) + left_so).alias("evidence"))
+    rows = materialise(rows, "evidence")
+
+    # Shares of cut pages away from limits, from counts of rounded evidence.
+    free = rows.where("NOT blank AND at_limit IS NULL").groupBy("source", F.round(F.col("evidence") * 4).cast("int").alias("e")).agg(F.count(F.lit(1)).alias("n"))
+    start = share_of_all(free)
+
+    def fit(p: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"s_": [p["source"].iloc[0]], "share": [share_fit(p["e"].to_numpy() / 4, p["n"].to_numpy(float), start)]})
+
+    shares = free.groupBy("source").applyInPandas(fit, "s_ string, share double")
+    rows = rows.join(shares, F.col("source").eqNullSafe(F.col("s_")), "left").drop("s_")
+    at, share = F.when(F.col("at_limit").isNotNull(), F.least("at_limit", F.lit(0.9999))), F.coalesce("share", F.lit(start))
+    odds = F.when(at.isNotNull(), F.log(at / (1 - at)) + F.greatest("evidence", F.lit(-4.0))).otherwise(F.log(share / (1 - share)) + F.col("evidence"))
+    return rows.select("key", "source", at.alias("at_limit"), "remnant", "closed", "evidence", share.alias("share"), F.when(F.col("blank"), F.lit(-20.0)).otherwise(odds).alias("log_odds"))
+
+
+def share_of_all(counts: DataFrame, start: float = PRIOR) -> float:
+    """Share of cut pages of the collection, from pages ``n`` per rounded evidence ``e`` (at most a few hundred values)."""
+    rows = counts.groupBy(F.least(F.greatest("e", F.lit(-160)), F.lit(160)).alias("e")).agg(F.sum("n").alias("n")).collect()
+    e, n = np.array([r["e"] / 4 for r in rows]), np.array([float(r["n"]) for r in rows])
+    return share_fit(e, n, start) if len(rows) else start

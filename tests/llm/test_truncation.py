@@ -86,11 +86,49 @@ def test_fit_recovers_a_censored_distribution():
     x = np.exp(np.random.default_rng(1).normal(6, 0.7, 20_000))
     c = 800.0
     low = np.log(x[x < c])
-    s = pd.DataFrame({"limit": [c], "m": [float((x >= c).sum())], "n": [float(len(low))], "s1": [low.sum()], "s2": [(low**2).sum()], "width": [0]})
+    s = pd.DataFrame({"limit": [c], "m": [float((x >= c).sum())], "n": [float(len(low))], "s1": [low.sum()], "s2": [(low**2).sum()], "width": [0], "above": [0.0], "near": [0.0]})
     out = truncation.length_fit(s).iloc[0]
     assert out.posterior > 0.99 and abs(out.surviving - (x >= c).mean()) < 0.01
-    natural = s.assign(m=1.0)
-    assert truncation.length_fit(natural).iloc[0].posterior == 0
+    assert truncation.length_fit(s.assign(m=1.0)).iloc[0].posterior == 0
+    # As many pages at a length as by nature, and as many above it: no limit.
+    natural = s.assign(m=float(((x >= c) & (x < c + 1)).sum()), above=float((x >= c + 1).sum()))
+    assert truncation.length_fit(natural).iloc[0].posterior < 0.01
+
+
+def test_a_limit_that_was_raised_is_found(spark):
+    r = random.Random(3)
+    rows = []
+    for i in range(800):
+        t = page(r, r.randrange(100, 900))
+        at = 500 if i % 2 else 800
+        rows.append((i, t[:at], "s", "x"))
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("source", "length(text) AS chars", "octet_length(text) AS bytes", "xxhash64(text) AS same")
+    found = {r["limit"] for r in truncation.limits(df).where("posterior > 0.5 AND unit = 'chars'").collect()}
+    assert found == {500, 800}
+
+
+def test_a_source_that_closes_with_a_blank_is_not_cut(spark):
+    r = random.Random(4)
+    rows = [(i, page(r, 300) + ("\n" if i % 2 else ""), "blank" if i % 2 else "bare", "x") for i in range(400)]
+    got = truncation.cut_pages(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", "source")
+    assert got.where("log_odds > 0").count() <= 4
+
+
+def test_recall_by_kind_of_break(spark):
+    r = random.Random(9)
+    kinds = ["", "…", "...", " [...]", " --", "\ufffd", "&#82", "&quo", "\\u00", "%2", "<b", " ", "\n"]
+    rows, kind = [], {}
+    for i in range(2000):
+        t = page(r, r.randrange(150, 900))
+        if i % 12 == 0:
+            kind[i] = kinds[i // 12 % len(kinds)]
+            t = t[: r.randrange(40, len(t) - 20)].rstrip() + kind[i]
+        rows.append((i, t, "ab"[i % 2], "x"))
+    found = {r["key"] for r in truncation.cut_pages(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", "source").where("log_odds > 0").collect()}
+    marked, plain = [i for i, k in kind.items() if k], [i for i, k in kind.items() if not k]
+    assert sum(i in found for i in marked) / len(marked) > 0.95
+    assert sum(i in found for i in plain) / len(plain) > 0.8
+    assert len(found - set(kind)) <= 0.05 * len(found)
 
 
 def test_edges(spark):

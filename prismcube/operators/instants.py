@@ -6,8 +6,8 @@ of a mask are then converted together on a byte matrix. Local times go through
 zone transition tables that the driver builds once from the JVM's rules and that
 carry the version of those rules.
 
-Defined results: null, blank, over-long, non-ASCII or unparsable text gives
-``unreadable``; so does a text without a zone whose row has no known zone.
+Defined results: null, blank, non-ASCII or unparsable text gives
+``unreadable``, a text of any length is read; so does a text without a zone whose row has no known zone.
 Repeated rows are judged apart, one result per input row; an empty table gives
 an empty result. Only the named columns are read, so extra columns of any name
 do no harm.
@@ -16,7 +16,7 @@ do no harm.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_LEN = 64
+#: Longest form once fractions are cut to one digit (fixed by ``_FORMS``); what is longer has no form.
+LONGEST = 64
 #: Tables reach from year 1 to 2500. The last rules of a zone repeat with the calendar, every 400 years (CYCLE), beyond LAST.
 FIRST, LAST, CYCLE = -62_135_596_800, 16_725_225_600, 12_622_780_800
 INSTANT, AMBIGUOUS, NONEXISTENT, UNREADABLE = range(4)
@@ -64,7 +65,18 @@ class Zone:
     local: np.ndarray
     state: np.ndarray
     offset: np.ndarray
-    standard: dict = field(default_factory=dict)
+
+    def written(self, local: np.ndarray, summer: bool) -> np.ndarray:
+        """Offsets of a standard or summer abbreviation as in force around local times: the
+        least or greatest of those within a year; a zone without summer time then has an hour more."""
+        within = local - np.maximum((local - LAST) // CYCLE + 1, 0) * CYCLE
+        i = np.searchsorted(self.local, within, side="right")
+        first, last = (np.searchsorted(self.local, within + d * 183 * 86400, side="right") for d in (-1, 1))
+        low, high = self.offset[i].copy(), self.offset[i].copy()
+        for step in range(int((last - first).max(initial=0)) + 1):
+            o = self.offset[np.minimum(first + step, last)]
+            low, high = np.minimum(low, o), np.maximum(high, o)
+        return np.where(high > low, high, low + 3600) if summer else low
 
     def to_utc(self, local: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         within = local - np.maximum((local - LAST) // CYCLE + 1, 0) * CYCLE
@@ -195,10 +207,12 @@ class Clock:
         self.slot = {k["key"]: i for i, k in enumerate(keys)}
         self.dmy = np.array([k["dmy"] for k in keys] + [False])
         self.own = [{a.upper().encode(): o for a, o in k["abbr"].items()} for k in keys]
-        self.any: dict[bytes, int | None] = {}
+        # An abbreviation of another fleet's holds where all fleets that write it agree on its offset.
+        self.any: dict[bytes, list] = {}
         for own in self.own:
-            for a, o in own.items():
-                self.any[a] = o if self.any.get(a, o) == o else None
+            for a, (zone, summer) in own.items():
+                if all(z.name != zone.name or was != summer for z, was in self.any.get(a, [])):
+                    self.any.setdefault(a, []).append((zone, summer))
 
     def batch(self, values: pa.Array, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Outcome codes and UTC seconds of a batch of texts and their zone keys."""
@@ -209,7 +223,11 @@ class Clock:
         slot = lookup[uniq.indices.fill_null(len(lookup) - 1).to_numpy(zero_copy_only=False)]
         trimmed = pc.utf8_trim_whitespace(values.fill_null(""))
         size = pc.binary_length(trimmed).to_numpy(zero_copy_only=False)
-        plain = pc.string_is_ascii(trimmed).to_numpy(zero_copy_only=False) & (size > 0) & (size <= MAX_LEN)
+        if (size > LONGEST).any():
+            # A second may have any number of fraction digits; all other parts of a form have few characters.
+            trimmed = pc.replace_substring_regex(trimmed, r"(:[0-9]{2}[.,][0-9])[0-9]+", r"\1")
+            size = pc.binary_length(trimmed).to_numpy(zero_copy_only=False)
+        plain = pc.string_is_ascii(trimmed).to_numpy(zero_copy_only=False) & (size > 0) & (size <= LONGEST)
         for length in np.unique(size[plain]):
             rows = np.flatnonzero(plain & (size == length))
             part = trimmed.take(pa.array(rows)).cast(pa.binary()).cast(pa.binary(int(length)))
@@ -237,11 +255,13 @@ class Clock:
             for a in np.unique(abbr[kind == 2]):
                 for k in np.unique(slot[(abbr == a) & (kind == 2)]):
                     here = (abbr == a) & (kind == 2) & (slot == k)
-                    o = (self.own[k].get(a) if k >= 0 else None) if a in (self.own[k] if k >= 0 else {}) else self.any.get(a)
-                    if o is None:
-                        ok[here] = False
+                    own = self.own[k].get(a) if k >= 0 else None
+                    each = [z.written(local[here], summer) for z, summer in ([own] if own else self.any.get(a, []))]
+                    if each:
+                        offset[here] = each[0]
+                        ok[here] &= np.all([o == each[0] for o in each], axis=0)
                     else:
-                        offset[here] = o
+                        ok[here] = False
         outcome, second = np.full(n, INSTANT, np.int8), local - offset
         bare = kind == 0
         for k in np.unique(slot[bare]):
@@ -261,17 +281,31 @@ def clock_from_table(spark: SparkSession, zone_rows: list[dict], key: str, zone:
     for r in sorted((r for r in zone_rows if r[key] is not None), key=lambda r: r[key]):
         z, abbr = zones.get(r[zone]), {}
         if z is not None:
-            # Abbreviations are those in use, so older offsets than those of 1970 do not count.
-            last = z.offset[np.searchsorted(z.local, 0, side="right") :][-4:]
-            low, high = int(last.min()), int(last.max())
             if r[std_abbr]:
-                abbr[r[std_abbr]] = low
+                abbr[r[std_abbr]] = (z, False)
             if r[dst_abbr]:
-                abbr[r[dst_abbr]] = high if high > low else low + 3600
+                abbr[r[dst_abbr]] = (z, True)
         keys.append({"key": r[key], "zone": r[zone], "dmy": r[date_order] == "DMY", "abbr": abbr})
     return Clock(zones, keys)
 
 
+def with_profiles(df: DataFrame, zone_key: str, zone_table: DataFrame, key: str, zone: str, date_order: str, std_abbr: str, dst_abbr: str) -> tuple[DataFrame, Clock]:
+    """``df`` with ``profile``, which takes the place of its zone key, and the clock of the profiles.
+
+    Zone, date order and abbreviations make a profile: there are few, bounded by the
+    zones of the rules and the abbreviations in use, however many keys the table
+    holds. Of several rows to a key the least holds.
+    """
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (zone, date_order, std_abbr, dst_abbr)]
+    named = zone_table.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min(F.concat_ws("\x01", *parts)).alias("profile"))
+    rows = []
+    for r in named.select("profile").distinct().collect():
+        z, order, std, dst = r["profile"].split("\x01")
+        rows.append({key: r["profile"], zone: z, date_order: order, std_abbr: std, dst_abbr: dst})
+    clock = clock_from_table(zone_table.sparkSession, rows, key, zone, date_order, std_abbr, dst_abbr)
+    return df.join(named, F.col(zone_key) == F.col("__key"), "left").drop("__key"), clock
+
+
 def normalise_instants(df: DataFrame, row_key: str, value: str, zone_key: str, clock: Clock) -> DataFrame:
     """``(row_key, outcome, utc_second)``, one row per input row; no shuffle."""
     kind = df.schema[row_key].dataType

@@ -3,11 +3,12 @@
 A cube is a DataFrame of one long per index dimension and one whole number per
 measure. It is not pre-aggregated for every combination of prefixes: a query is
 a filter and a group-by over prefixes, which Spark answers from Parquet that is
-laid out by the first dimension's code. Rollups may be stored beside it.
+laid out by the codes of its first dimensions. Rollups may be stored beside it.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -77,6 +78,61 @@ def first_categories(df: DataFrame, wanted: dict[str, tuple[str, int]], order: C
     return out
 
 
+def merged(schemas: list[CubeSchema]) -> tuple[CubeSchema, list[dict[str, dict[int, int]]]]:
+    """The schema of several parts, and per part and dimension what numbers change.
+
+    Names of the last level are numbered anew where a part gave a number to
+    another name; where names of inner levels differ the parts do not fit.
+    """
+    out = CubeSchema.from_json(schemas[0].to_json())
+    moves: list[dict[str, dict[int, int]]] = [{}]
+    for s in schemas[1:]:
+        if [(d.name, d.bits, d.levels, d.base, d.width) for d in s.dims] != [(d.name, d.bits, d.levels, d.base, d.width) for d in out.dims] or s.measures != out.measures:
+            raise QueryError("parts of different schemas")
+        move: dict[str, dict[int, int]] = {}
+        for d, e in zip(out.dims, s.dims):
+            place = {n: k for (depth, k), n in d.alias.names.items() if depth == d.levels}
+            # Numbers that either part has in use, named or not, are not given away.
+            free = max([k for (depth, k) in (*d.alias.names, *e.alias.names) if depth == d.levels], default=-1) + 1
+            change: dict[int, int] = {}
+            for (depth, k), n in sorted(e.alias.names.items()):
+                if depth < d.levels:
+                    if d.alias.names.get((depth, k), n) != n:
+                        raise QueryError(f"parts name the paths of {d.name} differently")
+                    d.alias.add(depth, k, n)
+                    continue
+                to = place.get(n)
+                if to is None:
+                    to = k
+                    if (depth, k) in d.alias.names:
+                        to, free = free, free + 1
+                        if to >= 1 << d.bits * d.levels:
+                            raise QueryError(f"{d.name} cannot hold the categories of all parts")
+                    place[n] = to
+                    d.alias.add(depth, to, n)
+                if to != k:
+                    change[k] = to
+            if change and any(depth < d.levels for depth, _ in (*d.alias.names, *e.alias.names)):
+                raise QueryError(f"parts name the paths of {d.name} differently")
+            for i, (depth, k) in e.alias.inputs.items():
+                d.alias.inputs.setdefault(i, (depth, change.get(k, k) if depth == d.levels else k))
+            if change:
+                move[d.name] = change
+        moves.append(move)
+    return out, moves
+
+
+def _renumbered(df: DataFrame, schema: CubeSchema, move: dict[str, dict[int, int]], depths: dict[str, int] | None) -> DataFrame:
+    """Rows of a part with the numbers of the merged schema."""
+    for n, change in move.items():
+        if depths is not None and depths.get(n, 0) == 0:
+            continue
+        c = DIM + n
+        to = df.sparkSession.createDataFrame(list(change.items()), f"{c} long, to_ long")
+        df = df.join(F.broadcast(to) if len(change) <= 100_000 else to, c, "left").withColumn(c, F.coalesce("to_", c)).drop("to_")
+    return df
+
+
 @dataclass
 class Cube:
     """Encoded rows and their schema."""
@@ -133,34 +189,67 @@ class Cube:
     def code(self, dim: str) -> Column:
         return F.col(DIM + dim)
 
-    def save(self, path: str, parts: int | None = None) -> None:
-        """Parquet ordered by the first dimension's code, and the schema beside it."""
-        first = DIM + self.schema.dims[0].name
-        df = self.df.repartitionByRange(parts, first) if parts else self.df.repartitionByRange(first)
-        df.sortWithinPartitions(first).write.mode("overwrite").parquet(f"{path}/rows")
+    def _layout(self, by: list[str]) -> Column:
+        """A number whose order keeps rows near that are near in each dimension: their first bits in turn."""
+        if len(by) > 5:
+            raise ValueError("rows are laid out by five dimensions at most")
+        n, out = min(20, 62 // len(by)), F.lit(0).cast("long")
+        for place, name in enumerate(reversed(by)):
+            d = self.schema.dim(name)
+            down = d.bits * d.levels - n
+            first = F.shiftright(self.code(name), down) if down >= 0 else F.shiftleft(self.code(name), -down)
+            # Binary digits read in base 2**k stand k places apart.
+            out = out.bitwiseOR(F.shiftleft(F.conv(F.bin(first), 2 ** len(by), 10).cast("long"), place))
+        return out
+
+    def save(self, path: str, parts: int | None = None, by: list[str] | None = None) -> None:
+        """Parquet laid out by dimensions (the first two by default), the schema and the rollups beside it."""
+        by = [d.name for d in self.schema.dims[:2]] if by is None else by
+        order = [self._layout(by), *(DIM + n for n in by)] if len(by) > 1 else [DIM + by[0]]
+        df = self.df.repartitionByRange(parts, order[0]) if parts else self.df.repartitionByRange(order[0])
+        df.sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/rows")
         spark = self.df.sparkSession
-        spark.createDataFrame([(self.schema.to_json(),)], "schema string").coalesce(1).write.mode("overwrite").text(f"{path}/schema")
+        lines = [(self.schema.to_json(),), (json.dumps([d for d, _ in self.rollups]),)]
+        for i, (_, r) in enumerate(self.rollups):
+            keys = [c for c in r.columns if c.startswith(DIM)]
+            (r.repartitionByRange(keys[0]).sortWithinPartitions(*keys) if keys else r.coalesce(1)).write.mode("overwrite").parquet(f"{path}/rollup-{i}")
+        spark.createDataFrame(lines, "schema string").coalesce(1).write.mode("overwrite").text(f"{path}/schema")
 
     @staticmethod
     def load(spark: SparkSession, *paths: str, preload: bool = False) -> Cube:
-        """One or more parts of the same schema; aliases of all parts hold."""
-        schemas = [CubeSchema.from_json(spark.read.text(f"{p}/schema").first()[0]) for p in paths]
-        out = schemas[0]
-        for s in schemas[1:]:
-            if [(d.name, d.bits, d.levels) for d in s.dims] != [(d.name, d.bits, d.levels) for d in out.dims] or s.measures != out.measures:
-                raise QueryError("parts of different schemas")
-            for d, e in zip(out.dims, s.dims):
-                for (depth, k), n in e.alias.names.items():
-                    d.alias.add(depth, k, n)
-        df = spark.read.parquet(*[f"{p}/rows" for p in paths])
-        return Cube(df.cache() if preload else df, out)
+        """One or more parts; categories that parts number differently are brought to one numbering."""
+        cubes = []
+        for p in paths:
+            lines = sorted((r[0] for r in spark.read.text(f"{p}/schema").collect()), key=lambda x: x.startswith("["))
+            df = spark.read.parquet(f"{p}/rows")
+            depths = json.loads(lines[1]) if len(lines) > 1 else []
+            cubes.append(Cube(df.cache() if preload else df, CubeSchema.from_json(lines[0]), [(d, spark.read.parquet(f"{p}/rollup-{i}")) for i, d in enumerate(depths)]))
+        return cubes[0].union(*cubes[1:])
 
     def union(self, *others: Cube) -> Cube:
-        """Parts seen as one cube."""
-        df = self.df
-        for o in others:
-            df = df.unionByName(o.df)
-        return Cube(df, self.schema)
+        """Parts seen as one cube. Names decide: a category has one number, whatever number a part gave it.
+
+        Rollups that all parts hold at the same depths are kept.
+        """
+        if not others:
+            return self
+        schema, moves = merged([self.schema, *(o.schema for o in others)])
+        parts = [_renumbered(c.df, schema, m, None) for c, m in zip((self, *others), moves)]
+        df = parts[0]
+        for o in parts[1:]:
+            df = df.unionByName(o)
+        rollups = []
+        for depths, _ in self.rollups:
+            same = [[r for d, r in c.rollups if d == depths][:1] for c in (self, *others)]
+            # A prefix that ends inside of a renumbered category says nothing about it.
+            whole = all(n not in depths or depths[n] in (0, schema.dim(n).levels) for m in moves for n in m)
+            if all(same) and whole:
+                r = [_renumbered(x[0], schema, m, depths) for x, m in zip(same, moves)]
+                one = r[0]
+                for x in r[1:]:
+                    one = one.unionByName(x)
+                rollups.append((depths, one))
+        return Cube(df, schema, rollups)
 
     def sum_of(self, m: Measure, weight: Column | None = None) -> Column:
         c = F.col(MEASURE + m.name)

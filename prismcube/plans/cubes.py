@@ -407,6 +407,25 @@ def rollup(spark: SparkSession, d: str) -> DataFrame:
     return Query((c,)).b("location", T.Dive(3)).b("type", T.Dive(1), "name").table()
 
 
+@catalog.query("saved_rollup", _q(f"{_path('x', 'y', 10, 4)} AS location, event_type AS type, {_ALL}", f"{_path('x', 'y', 10, 2)} = '2:1' AND event_type <> 'view'", f"{_path('x', 'y', 10, 4)}, event_type"))
+def saved_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Answered by a stored rollup, filters included."""
+    path = scratch(spark, "cube")
+    events(spark, d, "location", "type", "time").rollup({"location": 4, "type": 1}).save(path)
+    q = Query((C.Cube.load(spark, path),)).b("location", T.Dive(2, T.Path((2, 1))))
+    return q.b("type", T.DiveList(tuple(T.Dive(0, T.Name(n)) for n in ("click", "purchase", "error", "signup") if n in q.cubes[0].schema.dim("type").alias.inputs)), "name").table()
+
+
+@catalog.query("multipart_own_ids", _q(f"event_type AS type, {_ALL}", by="event_type"))
+def multipart_own_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Parts that number their categories each in its own way: names decide."""
+    raw, paths = _raw_events(spark, d), []
+    for i, part in enumerate((raw.where("event_id % 3 = 1"), raw.where("event_id % 3 <> 1"))):
+        paths.append(scratch(spark, "part"))
+        C.Cube.build(part, [_DIMS["type"]], _MEASURES, "events", F.col("event_id") * (-1) ** i).save(paths[-1])
+    return Query((C.Cube.load(spark, *paths),)).b("type", T.Dive(1), "name").table()
+
+
 @catalog.query("stream_cube", _q(f"event_type AS type, {_ALL}", by="event_type"))
 def stream_cube(spark: SparkSession, d: str) -> DataFrame:
     """The cube grown from a stream of files, then queried."""
@@ -514,9 +533,9 @@ def cumulative_window(spark: SparkSession, d: str) -> DataFrame:
 def tile_mosaic(spark: SparkSession, d: str) -> DataFrame:
     """Four tiles as one picture: one filter and one group-by."""
     q = Query((events(spark, d, "location"),)).select("count")
-    t = q.b("location", T.Dive(6), "img6").table()
-    keep = F.col("location_x").between(16, 31) & F.col("location_y").between(16, 31)
-    return t.where(keep).select(F.col("location_x").alias("col"), F.col("location_y").alias("row"), "count")
+    tiles = T.DiveList(tuple(T.Dive(3, T.Tile(3, x, y, image=True)) for x in (2, 3) for y in (2, 3)))
+    t = q.b("location", tiles, "img6").table()
+    return t.select(F.col("location_x").alias("col"), F.col("location_y").alias("row"), "count")
 
 
 @catalog.query("cell_bounds", "SELECT x, round(x / 8 * 360 - 180, 6) AS west, round(degrees(2 * atan(exp((x / 8 * 2 - 1) * pi())) - pi() / 2), 6) AS south FROM (SELECT DISTINCT event_id % 8 AS x FROM events)")

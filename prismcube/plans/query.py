@@ -239,7 +239,8 @@ class Query:
         return df
 
     def result(self) -> Result:
-        schema, bound = self.cubes[0].schema, self._bound()
+        whole = self.cubes[0].union(*self.cubes[1:])
+        schema, bound = whole.schema, self._bound()
         if self.selection is not None:
             by = {m.name: m for m in schema.measures}
             if missing := [m for m in self.selection if m not in by]:
@@ -247,14 +248,13 @@ class Query:
             measures = [by[m] for m in self.selection]
         else:
             measures = schema.measures
-        whole = self.cubes[0].union(*self.cubes[1:]) if len(self.cubes) > 1 else self.cubes[0]
         df = whole.df
         if whole.rollups:
-            # A rollup serves if every bound dimension only looks at a prefix that it holds.
+            # A rollup serves if filters and keys of every bound dimension only look at a prefix that it holds.
             needs = {}
             for name, (target, _) in bound.items():
                 c = target.compile(schema.dim(name), whole.code(name))
-                needs[name] = c.depth if c.kind == "path" and not c.filters else schema.dim(name).levels
+                needs[name] = schema.dim(name).levels if c.level is None else c.level
             df, depths = whole.best(needs)
             pads = {f"d_{n}": F.shiftleft(F.col(f"d_{n}"), schema.dim(n).bits * (schema.dim(n).levels - d)) for n, d in depths.items() if d < schema.dim(n).levels and f"d_{n}" in df.columns}
             df = df.withColumns(pads) if pads else df

@@ -6,6 +6,7 @@ counts), and a key: a prefix of the code or the numbers of loop buckets.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -26,6 +27,8 @@ class Compiled:
     #: "path" with the depth, "loop", "loops" (an array of numbers) or "running" with the count.
     kind: str | None = None
     depth: int = 0
+    #: Deepest level that filters, weight and key look at; None is the dimension's last.
+    level: int | None = None
 
 
 class Target:
@@ -33,10 +36,78 @@ class Target:
         raise NotImplementedError
 
 
+#: Most ranges of codes in a filter; cells in more ranges are tested by prefix behind ranges that cover them.
+RANGES = 8
+
+
 def _pfx(dim: IndexDim, code: Column, depth: int) -> Column:
     return codes.prefix(code, dim.bits, dim.levels, depth)
 
 
+def _below(dim: IndexDim, depth: int, k: int) -> tuple[int, int]:
+    """First and last code below a path."""
+    s = dim.bits * (dim.levels - depth)
+    return k << s, ((k + 1) << s) - 1
+
+
+def _within(code: Column, ranges: list[tuple[int, int]]) -> Column:
+    """Whether a code lies in one of the ranges, in a form that a scan can skip by."""
+    out = F.lit(False)
+    for i, (lo, hi) in enumerate(ranges):
+        test = (code >= lo) & (code <= hi)
+        out = test if i == 0 else out | test
+    return out
+
+
+def _segments(dim: IndexDim, paths: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Disjoint ranges of codes below the paths, in order, with how many of the paths each lies below."""
+    steps: Counter[int] = Counter()
+    for (depth, k), times in Counter(paths).items():
+        lo, hi = _below(dim, depth, k)
+        steps[lo] += times
+        steps[hi + 1] -= times
+    out, at, weight = [], 0, 0
+    for x in sorted(steps):
+        if weight:
+            if out and out[-1][1] == at - 1 and out[-1][2] == weight:
+                out[-1] = (out[-1][0], x - 1, weight)
+            else:
+                out.append((at, x - 1, weight))
+        at, weight = x, weight + steps[x]
+    return out
+
+
+def _cover(segments: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """At most ``RANGES`` ranges that hold the segments: joined where the gaps between are least."""
+    if not segments:
+        return []
+    gaps = sorted(range(1, len(segments)), key=lambda i: segments[i][0] - segments[i - 1][1], reverse=True)
+    starts = sorted([0, *gaps[: RANGES - 1]])
+    return [(segments[a][0], segments[b - 1][1]) for a, b in zip(starts, [*starts[1:], len(segments)])]
+
+
+def _listed(dim: IndexDim, code: Column, paths: list[tuple[int, int]]) -> tuple[list[Column], Column | None]:
+    """Filters of the codes below any of the paths, and how many each lies below where that differs."""
+    segments = _segments(dim, paths)
+    once = all(w == 1 for _, _, w in segments)
+    near = [_within(code, _cover(segments))]
+    if len(segments) <= RANGES:
+        if once:
+            return near, None
+        weight = F.lit(0)
+        for w in sorted({w for _, _, w in segments}):
+            weight = F.when(_within(code, [(a, b) for a, b, x in segments if x == w]), w).otherwise(weight)
+        return near, weight
+    groups: dict[tuple[int, int], list[int]] = {}
+    for (depth, k), times in Counter(paths).items():
+        groups.setdefault((depth, times), []).append(k)
+    weight = F.lit(0)
+    for (depth, times), ks in groups.items():
+        hit = F.lit(True) if depth == 0 else _pfx(dim, code, depth).isin(ks)
+        weight = weight + F.when(hit, times).otherwise(0)
+    return [*near, weight > 0], None if once else weight
+
+
 @dataclass
 class Path(Target):
     """A slice: the rows below one path."""
@@ -50,7 +121,7 @@ class Path(Target):
 
     def compile(self, dim: IndexDim, code: Column) -> Compiled:
         depth, k = self.where(dim)
-        return Compiled([_pfx(dim, code, depth) == k] if depth else [])
+        return Compiled([_within(code, [_below(dim, depth, k)])] if depth else [], level=depth)
 
 
 @dataclass
@@ -111,7 +182,7 @@ class TileRange(Target):
             mask = poly.interleave(n - 1, 0) << 2 * k + shift
             low, high = (poly.interleave(u, 0) << 2 * k + shift for u in (min(v, w), max(v, w)))
             tests.append(code.bitwiseAND(F.lit(mask).cast("long")).between(low, high))
-        return Compiled(tests)
+        return Compiled(tests, level=self.z)
 
 
 @dataclass
@@ -126,7 +197,7 @@ class Dive(Target):
         total = at + self.depth
         if total > dim.levels:
             return Compiled([F.lit(False)], key=code, kind="path", depth=dim.levels)
-        return Compiled([_pfx(dim, code, at) == k] if at else [], key=_pfx(dim, code, total), kind="path", depth=total)
+        return Compiled([_within(code, [_below(dim, at, k)])] if at else [], key=_pfx(dim, code, total), kind="path", depth=total, level=total)
 
 
 @dataclass
@@ -143,20 +214,8 @@ class DiveList(Target):
         total = depths.pop()
         if total > dim.levels:
             return Compiled([F.lit(False)], key=code, kind="path", depth=dim.levels)
-        weight = _weight(dim, code, at)
-        return Compiled([weight > 0], weight, _pfx(dim, code, total), "path", total)
-
-
-def _weight(dim: IndexDim, code: Column, paths: list[tuple[int, int]]) -> Column:
-    """How many of the paths a code lies below."""
-    groups: dict[tuple[int, int], list[int]] = {}
-    for p in sorted(set(paths)):
-        groups.setdefault((p[0], paths.count(p) if len(paths) < 10_000 else 1), []).append(p[1])
-    out = F.lit(0)
-    for (depth, times), ks in groups.items():
-        hit = F.lit(True) if depth == 0 else _pfx(dim, code, depth).isin(ks)
-        out = out + F.when(hit, times).otherwise(0)
-    return out
+        filters, weight = _listed(dim, code, at)
+        return Compiled(filters, weight, _pfx(dim, code, total), "path", total, total)
 
 
 @dataclass
@@ -167,8 +226,7 @@ class PathAgg(Target):
 
     def compile(self, dim: IndexDim, code: Column) -> Compiled:
         at = [p.where(dim) for p in self.paths]
-        weight = _weight(dim, code, at)
-        return Compiled([weight > 0], weight if len({*at}) != len(at) or len({d for d, _ in at}) > 1 else None)
+        return Compiled(*_listed(dim, code, at), level=max((d for d, _ in at), default=0))
 
 
 @dataclass
@@ -183,12 +241,7 @@ class Mask(Target):
 
     def compile(self, dim: IndexDim, code: Column) -> Compiled:
         cells = [c for c in self.cells if c[0] <= dim.levels]
-        weight = _weight(dim, code, cells)
-        by_depth: dict[int, set[int]] = {}
-        for d, k in cells:
-            by_depth.setdefault(d, set()).add(k)
-        nested = any(k >> dim.bits * (d - e) in by_depth[e] for d, k in cells for e in by_depth if e < d)
-        return Compiled([weight > 0], weight if nested else None)
+        return Compiled(*_listed(dim, code, cells), level=max((d for d, _ in cells), default=0))
 
 
 @dataclass

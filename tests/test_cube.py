@@ -247,3 +247,51 @@ def test_wrapping_and_rejected_rows(spark):
     assert rows(Query((c,)).b("t", T.Dive(3)).table()) == [("0:0:0", 1.0), ("0:0:1", 1.0), ("1:1:1", 1.0)]
     with pytest.raises(ValueError):
         C.Cube.build(df, [], [C.count()])
+
+
+@pytest.mark.parametrize("n", [9_999, 10_000, 10_001])
+def test_repeated_paths_count_as_often_as_listed(spark, crimes, n):
+    q = Query((crimes,)).b("type", T.PathAgg((T.Path((0,)),) * n + (T.Path((1,)),)))
+    assert rows(q.table()) == [(float(n + 1),)]
+
+
+def test_listed_cells_in_many_ranges(spark):
+    df = spark.range(4096).withColumn("x", F.col("id") % 64).withColumn("y", F.expr("id DIV 64"))
+    c = C.Cube.build(df, [C.grid("p", "x", "y", 6)], [C.count()])
+    r = random.Random(5)
+    cells = [(z, r.randrange(4**z)) for z in [r.randrange(0, 7) for _ in range(300)]]
+    paths = tuple(T.Path(tuple(k >> 2 * (z - 1 - i) & 3 for i in range(z))) for z, k in cells)
+    assert rows(Query((c,)).b("p", T.PathAgg(paths)).table()) == [(float(sum(4 ** (6 - z) for z, _ in cells)),)]
+    few = paths[:5]
+    assert rows(Query((c,)).b("p", T.PathAgg(few)).table()) == [(float(sum(4 ** (6 - z) for z, _ in cells[:5])),)]
+
+
+def test_ranges_reach_the_scan(spark, crimes, tmp_path):
+    crimes.save(f"file://{tmp_path}/a")
+    c = C.Cube.load(spark, f"file://{tmp_path}/a")
+    targets = [T.Path((1, 2)), T.Tile(3, 2, 5), T.Dive(2, T.Path((1,))), T.PathAgg((T.Path((1,)), T.Path((2, 1)))), T.DiveList((T.Dive(1, T.Path((1,))), T.Dive(0, T.Path((2, 1))))), T.Mask(frozenset({(2, 5), (3, 60)})), T.TileRange(4, (3, 4, 9, 9))]
+    for t in targets:
+        plan = Query((c,)).b("location", t).result().df._jdf.queryExecution().executedPlan().toString()
+        pushed = plan[plan.index("PushedFilters") :].split("]")[0]
+        assert "GreaterThanOrEqual(d_location" in pushed, (t, pushed)
+
+
+def test_parts_with_their_own_numbers(spark, tmp_path):
+    def part(values, n):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v string")
+        C.Cube.build(df, [C.categorical("v", "v", 2)], [C.count()], order=F.col("i")).rollup({"v": 1}).save(f"file://{tmp_path}/{n}")
+        return f"file://{tmp_path}/{n}"
+
+    c = C.Cube.load(spark, part("XXX", "a"), part("YX", "b"))
+    assert rows(Query((c,)).b("v", T.Dive(1), "name").table()) == [("X", 4.0), ("Y", 1.0)] and len(c.rollups) == 1
+    assert rows(Query((c,)).b("v", T.Name("Y")).table()) == [(1.0,)]
+    with pytest.raises(QueryError):
+        C.Cube.load(spark, f"file://{tmp_path}/a", part("PQRS", "c"))
+
+
+def test_stored_rollups_serve_filters(spark, crimes, tmp_path):
+    crimes.rollup({"type": 1, "location": 5}).save(f"file://{tmp_path}/r")
+    c = C.Cube.load(spark, f"file://{tmp_path}/r")
+    q = Query((c,)).b("location", T.Dive(2, T.Path((2,)))).b("type", T.Name("THEFT"))
+    assert "rollup-0" in q.result().df._jdf.queryExecution().executedPlan().toString()
+    assert rows(q.table()) == rows(Query((crimes,)).b("location", T.Dive(2, T.Path((2,)))).b("type", T.Name("THEFT")).table())

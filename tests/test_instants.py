@@ -3,8 +3,9 @@ from zoneinfo import ZoneInfo
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from prismcube.operators.instants import OUTCOMES, clock_from_table, load_zones, normalise_instants, parser_of
+from prismcube.operators.instants import OUTCOMES, clock_from_table, load_zones, normalise_instants, parser_of, with_profiles
 
 FLEETS = [
     {"fleet_id": 1, "tz_name": "America/New_York", "date_order": "MDY", "std_abbr": "EST", "dst_abbr": "EDT"},
@@ -105,3 +106,20 @@ def test_a_mask_is_compiled_once():
     parser_of("9999-99-99")
     parser_of("9999-99-99")
     assert parser_of.cache_info().hits == 1
+
+
+def test_long_fractions_and_years_far_away(spark, clock):
+    rows = [(1, "2016-05-19T10:00:00." + "3" * 200 + "Z", 1), (2, "1950-07-01 12:00:00", 1), (3, "2150-07-01 12:00:00", 1), (4, "2150-07-01 12:00:00 EDT", 2), (5, "x" * 500, 1), (6, "1944-07-01 12:00:00 EDT", 1)]
+    got = {r["k"]: (r["outcome"], r["utc_second"]) for r in normalise_instants(spark.createDataFrame(rows, "k long, v string, f int"), "k", "v", "f", clock).collect()}
+    assert got[1] == ("instant", utc(2016, 5, 19, 10)) and got[5] == ("unreadable", 0)
+    assert got[2] == ("instant", utc(1950, 7, 1, 16)) and got[3] == got[4] == ("instant", utc(2150, 7, 1, 16)) and got[6] == ("instant", utc(1944, 7, 1, 16))
+
+
+def test_many_fleets_have_few_profiles(spark):
+    n = 100_001
+    fleets = spark.range(n).select(F.col("id").cast("int").alias("fleet_id"), F.when(F.col("id") % 2 == 0, "America/New_York").otherwise("Asia/Kathmandu").alias("tz_name"), F.lit("MDY").alias("date_order"), F.lit(None).cast("string").alias("std_abbr"), F.lit(None).cast("string").alias("dst_abbr"))
+    rides = spark.createDataFrame([(1, "2016-01-01 12:00", n - 1), (2, "2016-01-01 12:00", n - 2), (3, "2016-01-01 12:00", None), (4, "2016-01-01 12:00", n)], "k long, v string, f int")
+    df, clock = with_profiles(rides, "f", fleets, "fleet_id", "tz_name", "date_order", "std_abbr", "dst_abbr")
+    assert len(clock.slot) == 2
+    got = {r["k"]: (r["outcome"], r["utc_second"]) for r in normalise_instants(df, "k", "v", "profile", clock).collect()}
+    assert got == {1: ("instant", utc(2016, 1, 1, 17)), 2: ("instant", utc(2016, 1, 1, 6, 15)), 3: ("unreadable", 0), 4: ("unreadable", 0)}

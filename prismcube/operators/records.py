@@ -2,10 +2,11 @@
 
 From a schema one anchored pattern for whole rows is generated. Rows that match
 it are loaded from its groups. The rest meet the pattern's prefixes, field by
-field; the first prefix that fails names the first broken field. The reason is
-``quoting`` if the quotes do not balance into fields, else ``column_count``,
-else ``value``. All patterns run as JVM expressions in one pass without a shuffle;
-none of them loops over a group, so very long rows are safe.
+field; the first prefix that fails names the first broken field, and what stands
+from there on gives the reason: ``quoting`` if its quotes do not balance into
+fields, else ``column_count`` if it holds more or fewer fields than are left, else
+``value``. All patterns run as JVM expressions in one pass without a shuffle; none
+of them loops over a group, so very long rows are safe.
 
 Defined results: a null record has no field and is a ``column_count`` failure;
 an empty one has one empty field. Repeated rows are judged apart.
@@ -70,6 +71,7 @@ class RecordSchema:
         self.fields = fields
         each = [f'(?: *({f.pattern}) *|"({f.pattern})")' for f in fields]
         self.whole = rf"\A{','.join(each)}\z"
+        self.sound = [rf"\A{','.join(each[: i + 1])}(?:,|\z)" for i in range(len(each))]
         self.prefixes = [rf"\A{','.join(each[: i + 1])}" + ("(?=,)" if i + 1 < len(each) else r"(?=,|\z)") for i in range(len(each))]
 
     def valid(self, line: Column) -> Column:
@@ -89,19 +91,27 @@ class RecordSchema:
             out = F.when(~line.rlike(self.prefixes[i]), F.lit(i + 1)).otherwise(out)
         return F.when(line.isNull(), F.lit(1)).otherwise(out)
 
-    def reason(self, line: Column) -> Column:
-        """Why a row that is not valid fails."""
+    def rest(self, line: Column, broken: Column) -> Column:
+        """What stands from the first broken field on; for surplus fields, from the first of them."""
+        out = line
+        for i in range(1, len(self.fields) + 1):
+            out = F.when(broken == i + 1, F.regexp_replace(line, self.sound[i - 1], "")).otherwise(out)
+        return out
+
+    def reason(self, line: Column, broken: Column) -> Column:
+        """Why a row fails whose field ``broken`` is the first that is not sound."""
+        rest = self.rest(line, broken)
         # Cut at quotes: pieces with even index stand outside of quotes. An outside piece
         # is empty (a doubled quote, or an end of the row) or meets its neighbours with commas.
-        cut = F.split(line, '"', -1)
+        cut = F.split(rest, '"', -1)
         last = F.size(cut) - 1
         outside = F.filter(cut, lambda _, i: i % 2 == 0)
         end = F.size(outside) - 1
         sound = F.transform(outside, lambda s, i: (s == "") | (((i == 0) | s.startswith(",")) & ((i == end) | s.endswith(","))))
         quotes = (last % 2 == 0) & ((last == 0) | F.forall(sound, lambda ok: ok))
         commas = F.length(F.array_join(outside, "")) - F.length(F.translate(F.array_join(outside, ""), ",", ""))
-        count = F.when(line.isNull(), F.lit(0)).otherwise(commas + 1)
-        return F.when(line.isNotNull() & ~quotes, "quoting").when(count != len(self.fields), "column_count").otherwise("value")
+        short = F.coalesce(commas + 1 != len(self.fields) + 1 - broken, F.lit(True))
+        return F.when(line.isNotNull() & ~quotes, "quoting").when(short, "column_count").otherwise("value")
 
 
 def load_records(df: DataFrame, line: str, schema: RecordSchema, *keep: str) -> DataFrame:
@@ -113,4 +123,5 @@ def load_records(df: DataFrame, line: str, schema: RecordSchema, *keep: str) ->
 def failed_records(df: DataFrame, line: str, schema: RecordSchema, *keep: str) -> DataFrame:
     """Columns ``keep``, ``reason`` and ``broken_field`` of the records that cannot be loaded."""
     text = F.col(line)
-    return df.where(~schema.valid(text)).select(*[F.col(k) for k in keep], schema.reason(text).alias("reason"), schema.broken_field(text).alias("broken_field"))
+    failed = df.where(~schema.valid(text)).select(*[F.col(k) for k in keep], text.alias("__line"), schema.broken_field(text).alias("broken_field"))
+    return failed.select(*keep, schema.reason(F.col("__line"), F.col("broken_field")).alias("reason"), "broken_field")

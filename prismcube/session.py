@@ -37,6 +37,23 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder; none if it does not exist."""
+    at, fs = _folder(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder with all that is in it."""
+    at, fs = _folder(spark, path)
+    fs.delete(at, True)
+
+
 def materialise(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.problems import term
 from ..plans.registry import Catalog
-from ..session import materialise, table
+from ..session import materialise, scratch, table
 from . import mixing, packing, rank_summary, term_counts, tokens, truncation
 
 catalog = Catalog()
@@ -27,13 +27,19 @@ def _terms(spark: SparkSession, d: str) -> list[tuple[DataFrame, str, str, Colum
 
 
 def _store(spark: SparkSession, d: str) -> term_counts.TermStore:
-    """Counts after a first load and two later deltas, as the deliveries came in."""
+    """Counts after a first load and two later deltas, as the deliveries came in.
+
+    The first delta also takes back the last deliveries of the first load, and the
+    second delivers them again, so that changes and deletions take part.
+    """
     store = term_counts.TermStore(spark)
     parts = []
     for df, field, record, terms in _terms(spark, d):
         parts.append(df.select(F.lit(field).alias("field"), F.col(record).cast("string").alias("record"), terms.alias("terms"), F.lit(1).cast("long").alias("sign"), "received_at"))
-    for batch in term_counts.batches_by_time(parts[0].unionByName(parts[1]), F.col("received_at"), [0.7, 0.9]):
-        store.apply(batch)
+    first, last, second, third = (term_counts.batches_by_time(parts[0].unionByName(parts[1]), F.col("received_at"), [0.6, 0.7, 0.9]) + [parts[0].limit(0)] * 3)[:4]
+    store.apply(first.unionByName(last))
+    store.apply(second.unionByName(last.withColumn("sign", -F.col("sign"))))
+    store.apply(third.unionByName(last))
     return store
 
 
@@ -74,6 +80,25 @@ def p1_latest(spark: SparkSession, d: str) -> DataFrame:
     return store.counts().select("term", "occurrences", "records")
 
 
+_CHANGES = """
+    WITH v AS (SELECT case_id, nullif(upper(trim(regexp_replace(type, '[ \t]+', ' ', 'g'))), '') AS term, received_at FROM crimes WHERE case_id IS NOT NULL),
+         l AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY received_at DESC, term DESC NULLS LAST) AS k FROM v),
+         h AS (SELECT term FROM l WHERE k = 1 AND term IS NOT NULL)
+    SELECT term, count(*) AS occurrences, count(*) AS records, (SELECT count(*) FROM h) AS total_records FROM h GROUP BY term"""
+
+
+@catalog.query("p1_changes", _CHANGES)
+def p1_changes(spark: SparkSession, d: str) -> DataFrame:
+    """A later delivery replaces a record, or deletes it if it has no value; the store is opened again for every batch."""
+    df, field, record, terms = _terms(spark, d)[0]
+    path = scratch(spark, "terms")
+    flat = df.where(F.col(record).isNotNull()).select(F.lit(field).alias("field"), F.col(record).cast("string").alias("record"), terms.alias("terms"), "received_at")
+    for batch in term_counts.batches_by_time(flat, F.col("received_at"), [0.7, 0.9]):
+        last = batch.groupBy("field", "record").agg(F.max(F.struct("received_at", "terms")).alias("x")).select("field", "record", "x.terms")
+        term_counts.TermStore(spark, path).apply(last.withColumn("sign", F.when(F.size("terms") == 0, -1).otherwise(1)), replace=True)
+    return term_counts.TermStore(spark, path).counts().select("term", "occurrences", "records", "total_records")
+
+
 def _percentiles(keys: list[str]):
     def run(spark: SparkSession, d: str) -> DataFrame:
         return rank_summary.percentiles(rank_summary.summarise(table(spark, d, "taxi"), keys, MEASURES, EPS), keys, PROBS)

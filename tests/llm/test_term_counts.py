@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+from prismcube.llm import term_counts
 from prismcube.llm.term_counts import TermStore, batches_by_time, marked
 
 SCHEMA = "field string, record string, terms array<string>, sign long"
@@ -25,7 +26,7 @@ def brute(rows):
 
 def test_signed_deltas_like_brute_force(spark):
     r = random.Random(1)
-    live, log, store = [], [], TermStore(spark, buckets=4)
+    live, log, store = [], [], TermStore(spark)
     for step in range(3):
         batch = []
         for _ in range(120):
@@ -45,7 +46,7 @@ def test_signed_deltas_like_brute_force(spark):
 
 
 def test_replace_takes_the_place_of_a_record(spark):
-    store = TermStore(spark, buckets=2)
+    store = TermStore(spark)
     store.apply(spark.createDataFrame([("f", "1", ["x", "y"], 1), ("f", "2", ["x"], 1)], SCHEMA), replace=True)
     store.apply(spark.createDataFrame([("f", "1", ["z"], 1), ("f", "3", ["x"], 1)], SCHEMA), replace=True)
     assert state(store) == {("f", "x"): (2, 2, 3), ("f", "z"): (1, 1, 3)}
@@ -66,3 +67,48 @@ def test_batches_keep_every_row(spark):
     assert sum(b.count() for b in batches_by_time(df.limit(0), F.col("t"), [0.5])) == 0
     same = df.withColumn("t", F.lit(None).cast("timestamp"))
     assert sum(b.count() for b in batches_by_time(same, F.col("t"), [0.5])) == 100
+
+
+def test_a_store_is_opened_again(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    for i in range(3):
+        TermStore(spark, path).apply(spark.createDataFrame([("f", str(i), ["x", str(i)], 1)], SCHEMA))
+    store = TermStore(spark, path)
+    assert store.version == 3 and state(store)["f", "x"] == (3, 3, 3)
+    # A batch that fails before its manifest is written leaves no trace.
+    broken = TermStore(spark, path)
+    broken._commit = lambda: (_ for _ in ()).throw(RuntimeError("lost"))
+    try:
+        broken.apply(spark.createDataFrame([("f", "9", ["x"], 1)], SCHEMA))
+    except RuntimeError:
+        pass
+    assert state(TermStore(spark, path)) == state(store)
+
+
+def test_deleting_with_replace(spark):
+    store = TermStore(spark)
+    one, gone = [("f", "1", ["x", "x"], 1), ("f", "2", ["y"], 1)], [("f", "1", ["x"], -1)]
+    store.apply(spark.createDataFrame(one, SCHEMA), replace=True)
+    store.apply(spark.createDataFrame(gone, SCHEMA), replace=True)
+    assert state(store) == {("f", "y"): (1, 1, 1)}
+    store.apply(spark.createDataFrame(one[:1], SCHEMA), replace=True)
+    assert state(store) == {("f", "x"): (2, 1, 2), ("f", "y"): (1, 1, 2)}
+
+
+def test_taking_away_first_and_adding_later(spark):
+    store = TermStore(spark)
+    store.apply(spark.createDataFrame([("f", "1", ["x"], -1), ("f", "2", ["x"], 1)], SCHEMA))
+    assert ("f", "x") not in state(store)
+    store.apply(spark.createDataFrame([("f", "1", ["x"], 1), ("f", "1", ["x"], 1)], SCHEMA))
+    assert state(store) == {("f", "x"): (2, 2, 2)}
+
+
+def test_segments_are_merged_and_few_hashes_are_named(spark, monkeypatch):
+    monkeypatch.setattr(term_counts, "SEGMENTS", 2)
+    monkeypatch.setattr(term_counts, "NAMED", 2)
+    r, log, store = random.Random(3), [], TermStore(spark)
+    for step in range(4):
+        batch = [("f", str(r.randrange(40)), [r.choice("abc")], 1) for _ in range(2 if step % 2 else 30)]
+        log += batch
+        store.apply(spark.createDataFrame(batch, SCHEMA))
+        assert state(store) == brute(log) and len(store.segments) <= 2

@@ -4,9 +4,9 @@ Pages are spread over shards by hash, so that no shard depends on a hot source;
 only ids and token counts travel. A shard keeps a queue per source. For every
 window of containers, deficit round-robin takes pages from the queues: each
 source earns its share of the window's tokens, spends it on whole pages, and
-carries what is left, or overspent, to the next window. The credit a shard starts
-with is what the shards before it owe by their contents (a prefix sum over
-shards). The pages of a window go best-fit, longest first, into the containers
+carries all that is left, or overspent, to the next windows. The credit a shard
+starts with is what the shards before it owe by their contents (a prefix sum over
+shards, in groups of ``GROUP``). The pages of a window go best-fit, longest first, into the containers
 still open. Only a page longer than the capacity is divided: into full containers
 and one rest, which is an item like any other.
 
@@ -26,8 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 #: Tokens of a shard, containers of a window, and the part of a container that may stay free when it is closed.
 SHARD_TOKENS, WINDOW, SLACK = 2_000_000, 64, 0.01
+#: Shards whose debts are summed in one go.
+GROUP = 4096
 SCHEMA = "pack_name string, container_id long, doc_id long, source string, piece int, piece_start long, n_tokens long"
 
 
@@ -70,7 +74,6 @@ def windows(source: np.ndarray, size: np.ndarray, share: np.ndarray, credit: np.
                 taken.append(i)
                 credit[s] -= sizes[i]
                 room -= sizes[i]
-        credit = np.clip(credit, -float(budget), float(budget))
         yield np.array(taken, np.int64)
 
 
@@ -120,11 +123,17 @@ def pack_documents(sized: DataFrame, targets: DataFrame, packs: dict[str, int],
     rows = sized.select("doc_id", "source", "n_tokens").withColumn("shard", F.pmod(F.xxhash64("doc_id", "source", "n_tokens"), F.lit(shards)).cast("long"))
     # What each source is owed after the shards before this one; shards x sources small numbers.
     held = rows.groupBy("shard", "source").agg(F.sum("n_tokens").alias("t"))
-    grid = held.select("shard").distinct().crossJoin(F.broadcast(targets.where("source IS NOT NULL").select("source", F.coalesce("target_share", F.lit(0.0)).alias("share"))))
+    # As many targets as sources were collected above.
+    goals = F.array(*[F.struct(F.lit(s).alias("source"), F.lit(x).alias("share")) for s, x in shares.items()]) if shares else F.array().cast("array<struct<source:string,share:double>>")
     whole = held.groupBy("shard").agg(F.sum("t").alias("all"))
-    owed = grid.join(whole, "shard").join(held.where("source IS NOT NULL"), ["shard", "source"], "left").withColumn("owed", F.col("share") * F.col("all") - F.coalesce("t", F.lit(0)))
-    before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    carry = owed.select(F.col("shard").alias("to_shard"), "source", F.coalesce(F.sum("owed").over(before), F.lit(0.0)).alias("credit"))
+    grid = whole.select("shard", "all", F.explode(goals).alias("g")).select("shard", "all", "g.*")
+    owed = grid.join(held.where("source IS NOT NULL"), ["shard", "source"], "left").withColumn("owed", F.col("share") * F.col("all") - F.coalesce("t", F.lit(0)))
+    owed = materialise(owed.select("shard", "source", "owed", F.floor(F.col("shard") / GROUP).alias("group")), "owed")
+    groups = owed.groupBy("group", "source").agg(F.sum("owed").alias("owed"))
+    groups = groups.withColumn("before", F.coalesce(F.sum("owed").over(Window.partitionBy("source").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("owed")
+    before = Window.partitionBy("group", "source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    carry = owed.withColumn("within", F.coalesce(F.sum("owed").over(before), F.lit(0.0))).join(groups, ["group", "source"])
+    carry = carry.select(F.col("shard").alias("to_shard"), "source", (F.col("within") + F.col("before")).alias("credit"))
 
     def fill(docs: pd.DataFrame, owed: pd.DataFrame) -> pd.DataFrame:
         # A fixed order by hash: the queues are mixed, and a task run twice gives the same rows.
@@ -138,8 +147,7 @@ def pack_documents(sized: DataFrame, targets: DataFrame, packs: dict[str, int],
         tokens, shard = docs["n_tokens"].to_numpy(np.int64), int(docs["shard"].iloc[0]) if len(docs) else 0
         out = []
         for name, capacity in packs.items():
-            bound = float(capacity * WINDOW)
-            box, row, piece, start, size = pack(code, tokens, share, np.clip(credit, -bound, bound), capacity)
+            box, row, piece, start, size = pack(code, tokens, share, credit, capacity)
             part = docs[["doc_id", "source"]].iloc[row].reset_index(drop=True)
             out.append(part.assign(pack_name=name, container_id=(shard << 32) + box, piece=piece.astype(np.int32), piece_start=start, n_tokens=size))
         cols = ["pack_name", "container_id", "doc_id", "source", "piece", "piece_start", "n_tokens"]
@@ -148,6 +156,19 @@ def pack_documents(sized: DataFrame, targets: DataFrame, packs: dict[str, int],
     return rows.groupBy("shard").cogroup(carry.groupBy("to_shard")).applyInPandas(fill, SCHEMA)
 
 
+def check_report(packed: DataFrame, sized: DataFrame, packs: dict[str, int]) -> DataFrame:
+    """Per capacity: pages packed, whether each came whole, overfull containers, pages divided without need."""
+    cap = F.element_at(F.create_map(*[x for n, c in packs.items() for x in (F.lit(n), F.lit(c))]), F.col("pack_name"))
+    boxes = packed.groupBy("pack_name", "container_id").agg(F.sum("n_tokens").alias("t")).groupBy("pack_name").agg(F.sum((F.col("t") > cap).cast("long")).alias("overfull"))
+    # Rows of the same page and source count together on both sides.
+    pages = packed.groupBy("pack_name", "doc_id", "source").agg(F.sum("n_tokens").alias("t"), F.sum((F.col("piece") == 0).cast("long")).alias("k"), F.max("piece").alias("last"))
+    sizes = sized.groupBy("doc_id", "source").agg(F.sum("n_tokens").alias("size"), F.count(F.lit(1)).alias("rows"), F.max("n_tokens").alias("longest")).withColumnsRenamed({"doc_id": "d_", "source": "s_"})
+    j = pages.join(sizes, F.col("doc_id").eqNullSafe(F.col("d_")) & F.col("source").eqNullSafe(F.col("s_")), "left")
+    same = F.coalesce((F.col("t") == F.col("size")) & (F.col("k") == F.col("rows")), F.lit(False))
+    out = j.groupBy("pack_name").agg(F.sum("k").alias("pages"), F.min(same).alias("whole"), F.sum(((F.col("last") > 0) & (F.col("longest") <= cap)).cast("long")).alias("divided"))
+    return out.join(boxes, "pack_name")
+
+
 def fill_report(packed: DataFrame, packs: dict[str, int]) -> DataFrame:
     """Containers, tokens and used share of the space per capacity."""
     cap = F.element_at(F.create_map(*[x for n, c in packs.items() for x in (F.lit(n), F.lit(c))]), F.col("pack_name"))

@@ -157,6 +157,28 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p7_assignments(spark, d), _packs(spark, d))
 
 
+@catalog.query("p7_check", "SELECT pack_name, (SELECT count(*) FROM documents) AS pages, true AS whole, CAST(0 AS BIGINT) AS divided, CAST(0 AS BIGINT) AS overfull, true AS full FROM pack_sizes")
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """What packing promises: all pages whole, none divided without need, no container overfull, little space unused."""
+    sized, packs = _sized(spark, d), _packs(spark, d)
+    packed = materialise(packing.pack_documents(sized, table(spark, d, "mix_targets"), packs), "packed")
+    fill = packing.fill_report(packed, packs).select("pack_name", (F.col("used") >= 0.9).alias("full"))
+    return packing.check_report(packed, sized, packs).join(fill, "pack_name")
+
+
+@catalog.query("p8_check", "SELECT source, true AS repeats_kept, true AS once_a_pass, true AS share_met FROM mix_targets")
+def p8_check(spark: SparkSession, d: str) -> DataFrame:
+    """What mixing promises: repeats within bounds, a page once a pass, every quota met to less than a page."""
+    sized, targets = _sized(spark, d), table(spark, d, "mix_targets")
+    mixed, report = mixing.mix(sized, targets)
+    pages = materialise(mixed, "mixed").groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("pass").alias("passes"), F.max("n_tokens").alias("size"))
+    pages = pages.join(targets.select("source", "max_repeats"), "source").groupBy("source").agg(F.min(F.col("n") <= F.col("max_repeats")).alias("repeats_kept"), F.min(F.col("n") == F.col("passes")).alias("once_a_pass"))
+    longest = sized.groupBy("source").agg(F.max("n_tokens").alias("longest"))
+    met = report.join(longest, "source", "left").select("source", (F.abs(F.col("mixed_tokens") - F.col("quota_tokens")) <= F.coalesce("longest", F.lit(0)) + 1).alias("share_met"))
+    yes = F.lit(True)
+    return targets.select("source").join(pages, "source", "left").join(met, "source", "left").select("source", F.coalesce("repeats_kept", yes).alias("repeats_kept"), F.coalesce("once_a_pass", yes).alias("once_a_pass"), F.coalesce("share_met", F.lit(False)).alias("share_met"))
+
+
 @catalog.query("p8_mix")
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_sized(spark, d), table(spark, d, "mix_targets"))[0]

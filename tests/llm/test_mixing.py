@@ -20,6 +20,21 @@ def test_splitting_tree_is_exact_and_even():
     assert t.sum(axis=1).max() - t.sum(axis=1).min() <= 3
 
 
+def test_subtrees_agree_with_one_tree(spark):
+    counts = np.array([1000, 370, 5, 0])
+    one = mixing.splitting_tree(counts, 70, 2)
+    rows = [x for lo, hi, own in mixing.subtrees(counts, 0, 70, 2, 9) for x in mixing.subtrees(own, lo, hi, 2)]
+    assert (np.array([own for _, _, own in rows]) == one).all()
+    got = mixing.deal(spark, list("abcd"), counts, 70, 2).toPandas()
+    assert all((np.bincount(g.shard, minlength=70) == one[:, "abcd".index(s)]).all() and sorted(g.place) == list(range(len(g))) for s, g in got.groupby("source"))
+
+
+def test_a_million_shards(spark):
+    counts = np.array([3_000_000, 1_200_000, 50_000])
+    got = mixing.deal(spark, list("abc"), counts, 10**6, 3).groupBy("shard").count().selectExpr("count(*)", "min(count)").first()
+    assert got[0] == 10**6 and got[1] >= 4
+
+
 def test_mix(spark):
     r = random.Random(4)
     rows = [(i, r.choices(["big", "small", "free", None], [80, 5, 10, 5])[0], r.choice([0, r.randrange(1, 90)])) for i in range(2500)]

@@ -52,6 +52,14 @@ def test_windows_follow_targets_while_supply_lasts():
     assert sorted(np.concatenate(total).tolist()) == list(range(6000))
 
 
+def test_debts_are_carried_in_full():
+    # A shard that owes a source far more than a window pays it back over several.
+    size, source, share = np.full(4000, 10), np.repeat([0, 1], 2000), np.array([0.5, 0.5])
+    first = [np.bincount(source[w], size[w], 2) for w in packing.windows(source, size, share, np.array([5000.0, -5000.0]), 1000)]
+    paid = np.cumsum([x[0] - x[1] for x in first])
+    assert (paid[:9] == 1000 * np.arange(1, 10)).all() and abs(paid[14] - 10_000) <= 1000
+
+
 def test_empty(spark):
     _, df = pages(spark)
     targets = spark.createDataFrame([], "source string, target_share double")

@@ -8,7 +8,8 @@ between two borders knows the regions that cover it (even-odd rule per region,
 so holes and parts come for free). Slabs are built per longitude stripe on the
 executors. Up to ``BROADCAST_BYTES`` of finished slabs go to every executor and
 points are located without a shuffle; beyond it points are grouped with their
-stripe, hot stripes split by salt.
+stripe, in groups of about ``GROUP`` points: only stripes with more are split by
+salt, and their slabs repeated.
 
 Near points: an equi-join on grid cells three radii wide, whose columns follow
 the latitude, wrap at the antimeridian and become one near the poles. Cells with
@@ -35,8 +36,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialise
+
 EARTH_M = 6_371_000.0
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES, GROUP = 64 << 20, 500_000
 STRIPE_DEG = 1.0
 CLOSE = 1e-9
 _RING = re.compile(r"\(([^()]+)\)")
@@ -213,7 +216,7 @@ def points_in_regions(points: DataFrame, key: str, kinds: dict[str, tuple[str, s
     ``kinds`` maps a kind to its latitude and longitude columns.
     """
     spark = points.sparkSession
-    slabs = region_slabs(regions, region_id, wkt, stripe_deg).persist()
+    slabs = materialise(region_slabs(regions, region_id, wkt, stripe_deg), "slabs")
     size = slabs.agg(F.coalesce(F.sum(F.length("slabs")), F.lit(0))).first()[0]
     cols = [F.col(key).cast("long").alias("k")]
     for i, (lat, lon) in enumerate(kinds.values()):
@@ -223,7 +226,6 @@ def points_in_regions(points: DataFrame, key: str, kinds: dict[str, tuple[str, s
     schema = T.StructType([T.StructField("kind", T.StringType()), T.StructField("key_a", T.LongType()), T.StructField("key_b", T.LongType())])
     if size <= broadcast_bytes:
         small = spark.sparkContext.broadcast({r["stripe"]: bytes(r["slabs"]) for r in slabs.collect()})
-        slabs.unpersist()
 
         def locate(batches):
             own = {s: pickle.loads(b) for s, b in small.value.items()}  # noqa: S301 - made by this module
@@ -238,11 +240,12 @@ def points_in_regions(points: DataFrame, key: str, kinds: dict[str, tuple[str, s
 
         return flat.mapInArrow(locate, schema)
 
-    salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
     one = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"y{i}").alias("y"), F.col(f"x{i}").alias("x")) for i, k in enumerate(names)]))
-    long = flat.select("k", one.alias("p")).select("k", "p.*").where("x IS NOT NULL")
-    long = long.withColumn("stripe", F.floor(F.col("x") / stripe_deg)).withColumn("salt", F.pmod(F.xxhash64("k", "x", "y"), F.lit(salts)).cast("int"))
-    copies = slabs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    long = flat.select("k", one.alias("p")).select("k", "p.*").where("x IS NOT NULL").withColumn("stripe", F.floor(F.col("x") / stripe_deg))
+    # At most one row to a stripe, so no more than the globe has stripes.
+    crowds = materialise(long.groupBy("stripe").count().select("stripe", F.ceil(F.col("count") / GROUP).cast("int").alias("salts")), "crowds")
+    long = long.join(F.broadcast(crowds), "stripe").withColumn("salt", F.pmod(F.xxhash64("k", "kind", "x", "y"), F.col("salts")).cast("int")).drop("salts")
+    copies = slabs.join(F.broadcast(crowds), "stripe").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
     def cell(pts: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if len(own) and len(pts):

@@ -66,46 +66,60 @@ def supported(locates: DataFrame, objects: DataFrame, tag: Tag | None, least: in
     return (j.where(F.col("n") <= most) if most != -1 else j).drop("n")
 
 
-def _within(queries: DataFrame, locates: DataFrame, radius_m: float, most: int) -> DataFrame:
-    """Up to ``most`` nearest of the locates within a radius, by one equi-join on cells."""
+#: Locates of a cell beyond which it is parted.
+CROWD = 4000
+
+
+def _within(places: DataFrame, locates: DataFrame, radius_m: float, most: int) -> DataFrame:
+    """Up to ``most`` nearest of the locates within a radius of each place, by one equi-join on cells.
+
+    A crowded cell is parted by a hash of its locates, and the places that look at it are repeated.
+    """
     grid = Grid(radius_m)
     home = locates.select("id", "y", "x", grid.cell(F.col("y"), F.col("x")).alias("cell"))
-    look = queries.select("query_id", "lat", "lon", F.explode(grid.cells_around(F.col("lat"), F.col("lon"))).alias("cell"))
+    crowds = home.groupBy("cell").count().where(F.col("count") > CROWD).select("cell", F.ceil(F.col("count") / CROWD).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    home = home.join(crowds, "cell", "left").withColumn("salt", F.pmod(F.xxhash64("id"), parts).cast("int")).drop("parts")
+    look = places.select("lat", "lon", F.explode(grid.cells_around(F.col("lat"), F.col("lon"))).alias("cell")).join(crowds, "cell", "left")
+    look = look.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
     d = haversine_m(F.col("lat"), F.col("lon"), F.col("y"), F.col("x"))
-    hits = look.join(home, "cell").where(F.abs(F.col("lat") - F.col("y")) <= grid.reach).withColumn("distance_m", d).where(F.col("distance_m") <= radius_m)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance_m", "id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= most).select("query_id", "id", "distance_m", "rank")
+    hits = look.join(home, ["cell", "salt"]).where(F.abs(F.col("lat") - F.col("y")) <= grid.reach).withColumn("distance_m", d).where(F.col("distance_m") <= radius_m)
+    # Each task keeps the first of its ranks before they meet.
+    rank = F.row_number().over(Window.partitionBy("lat", "lon").orderBy("distance_m", "id"))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= most).select("lat", "lon", "id", "distance_m", "rank")
 
 
 def nearest(queries: DataFrame, locates: DataFrame, radius_m: float = 100.0, most: int = 1000, first_m: float | None = None) -> DataFrame:
     """``query_id, id, distance_m, rank``: the nearest locates within the radius of each query point.
 
-    ``queries`` holds ``query_id, lat, lon``, each id once. Of locates at the same
-    place only the ``most`` with the least ids can be among the nearest. With
-    ``first_m`` the search starts at that radius, and only queries that do not find
+    ``queries`` holds ``query_id, lat, lon``; places asked for by several queries are
+    looked up once. Of locates at the same place only the ``most`` with the least ids
+    can be among the nearest. With ``first_m`` the search starts at that radius, and only queries that do not find
     ``most`` locates go on to four times the radius; so a crowded place costs no
     more than a lonely one. It pays where some places are crowded and ``most`` is small.
     """
     places = locates.where(is_location(F.col("lat"), F.col("lon"))).select("id", F.col("lat").cast("double").alias("y"), F.col("lon").cast("double").alias("x"))
     same = F.row_number().over(Window.partitionBy("y", "x").orderBy("id"))
     places = places.withColumn("same", same).where(F.col("same") <= most).drop("same")
-    left = queries.where(is_location(F.col("lat"), F.col("lon"))).select("query_id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    asked = queries.where(is_location(F.col("lat"), F.col("lon"))).select("query_id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    left = asked.select("lat", "lon").distinct()
+    answers = lambda found: asked.join(found, ["lat", "lon"]).select("query_id", "id", "distance_m", "rank")
     radii = [radius_m]
     while first_m and radii[-1] / 4 >= first_m:
         radii.append(radii[-1] / 4)
     if len(radii) == 1:
-        return _within(left, places, radius_m, most)
+        return answers(_within(left, places, radius_m, most))
     places = materialise(places, "places")
     out = None
     for r in reversed(radii):
         found = _within(left, places, r, most)
         if r < radius_m:
             found = materialise(found, "near")
-            done = found.where(F.col("rank") == most).select("query_id")
-            left = materialise(left.join(done, "query_id", "left_anti"), "left")
-            found = found.join(done, "query_id", "left_semi")
+            done = found.where(F.col("rank") == most).select("lat", "lon")
+            left = materialise(left.join(done, ["lat", "lon"], "left_anti"), "left")
+            found = found.join(done, ["lat", "lon"], "left_semi")
         out = found if out is None else out.unionByName(found)
-    return out
+    return answers(out)
 
 
 def with_objects(found: DataFrame, objects: DataFrame, tag: Tag | None = None, every: bool = False) -> DataFrame:
@@ -115,9 +129,9 @@ def with_objects(found: DataFrame, objects: DataFrame, tag: Tag | None = None, e
     return found.join(at.groupBy("id").agg(F.collect_list("o").alias("objects")), "id", "left")
 
 
-def by_object(found: DataFrame, objects: DataFrame, tag: Tag | None = None) -> DataFrame:
-    """Objects at found locates, with those locates nested."""
-    at = objects if tag is None else objects.where(tag.column(F.col("tags")))
+def by_object(found: DataFrame, objects: DataFrame, tag: Tag | None = None, every: bool = False) -> DataFrame:
+    """Matching objects (``every``: all objects) at found locates, with those locates nested."""
+    at = objects if tag is None or every else objects.where(tag.column(F.col("tags")))
     at = at.select(F.col("id").alias("object_id"), F.explode(F.array_distinct("locate_ids")).alias("id"))
     return found.join(at, "id").groupBy("object_id").agg(F.array_sort(F.collect_set("id")).alias("locate_ids"))
 

@@ -13,7 +13,7 @@ from ..session import scratch, table
 from ..sources import readers
 from ..streaming import live
 from . import cube as C
-from . import poly
+from . import poly, snaplang
 from . import targets as T
 from .lang import Engine, build_from_map
 from .query import Query, cross_filter, series, top_n
@@ -487,6 +487,25 @@ def snap_points(spark: SparkSession, d: str) -> DataFrame:
     return snap.snap_points(q, "k", "lat", "lon", _locates(spark, d), _RADIUS_M).select("k", F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"))
 
 
+_LANG = "snap.loc(12.5,-30,-41,75.25,0.5,179.9).radius(900000).max(7).filter((kv('segment','BUILDING')+v('MACHINERY'))*not(kv('nation','3')))"
+_LANG_SQL = f"""WITH {_OBJ}, l AS (SELECT k AS id, {_PLACE} FROM (SELECT c_custkey AS k FROM customer)), q AS (SELECT * FROM (VALUES (0, 12.5, -30.0), (1, -41.0, 75.25), (2, 0.5, 179.9)) t(query_id, qlat, qlon)),
+ ok AS (SELECT DISTINCT loc FROM o WHERE (s = 'BUILDING' OR s = 'MACHINERY') AND NOT n = '3'),
+ j AS (SELECT query_id, l.id, 2 * 6371000 * asin(sqrt(least(1, pow(sin(radians(l.lat - qlat) / 2), 2) + cos(radians(l.lat)) * cos(radians(qlat)) * pow(sin(radians(l.lon - qlon) / 2), 2)))) AS m FROM q CROSS JOIN l JOIN ok ON ok.loc = l.id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(m, 3), id) AS rank FROM j WHERE m <= 900000)"""
+
+
+@catalog.query("snap_language", f"{_LANG_SQL} SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INTEGER) AS rank, id, round(m, 1) AS distance_m, (SELECT count(DISTINCT o.id) FROM o WHERE loc = r.id AND (s = 'BUILDING' OR s = 'MACHINERY') AND NOT n = '3') AS matching FROM r WHERE rank <= 7")
+def snap_language(spark: SparkSession, d: str) -> DataFrame:
+    got = snaplang.answer(_LANG, _locates(spark, d), _objects(spark, d))
+    return got.select("query_id", "rank", "id", F.round("distance_m", 1).alias("distance_m"), F.size("objects").cast("long").alias("matching"))
+
+
+@catalog.query("snap_objects_all", f"{_LANG_SQL} SELECT o.id AS object_id, count(*) AS locates FROM r JOIN o ON o.loc = r.id WHERE rank <= 7 GROUP BY 1")
+def snap_objects_all(spark: SparkSession, d: str) -> DataFrame:
+    got = snaplang.answer(_LANG + ".order('objects_all')", _locates(spark, d), _objects(spark, d))
+    return got.select("object_id", F.size("locates").cast("long").alias("locates"))
+
+
 # ---- clients
 
 

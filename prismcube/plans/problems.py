@@ -76,21 +76,33 @@ def _zones(spark: SparkSession, d: str) -> DataFrame:
     return points.points_in_regions(table(spark, d, "taxi"), "record_no", kinds, table(spark, d, "zones"), "zone_id", "ring_wkt")
 
 
-@catalog.query("p4_found")
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _near(spark, d).select(F.lit("near").alias("kind"), "key_a", "key_b").unionByName(_zones(spark, d))
-
-
-@catalog.query(
-    "p4_near",
-    """
+_NEAR_SQL = """
     WITH p AS (SELECT DISTINCT id, latitude AS y, longitude AS x FROM paper
                WHERE id IS NOT NULL AND latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND NOT (latitude = 0 AND longitude = 0)),
          q AS (SELECT *, CAST(floor(y / 0.001) AS BIGINT) AS r FROM p),
          w AS (SELECT q.*, r + s AS rr FROM q, range(-1, 2) t(s))
     SELECT DISTINCT a.id AS key_a, b.id AS key_b FROM q a JOIN w b ON a.r = b.rr AND a.id < b.id
-    WHERE 2 * 6371000 * asin(sqrt(least(1, pow(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2)))) <= 100""",
-)
+    WHERE 2 * 6371000 * asin(sqrt(least(1, pow(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2)))) <= 100"""
+# Rays from every point through the borders of the regions whose box holds it.
+_ZONES_SQL = """
+    WITH t AS (SELECT zone_id, regexp_extract_all(ring_wkt, '\\(([^()]+)\\)', 1) AS rings FROM zones),
+         g AS (SELECT zone_id, i, string_split(rings[i], ',') AS pts FROM t, range(1, 1000) s(i) WHERE i <= len(rings)),
+         v AS (SELECT zone_id, i, k, string_split(trim(pts[k]), ' ') AS c FROM g, range(1, 100000) s(k) WHERE k <= len(pts)),
+         w AS (SELECT zone_id, i, k, CAST(c[1] AS DOUBLE) AS x, CAST(c[2] AS DOUBLE) AS y FROM v),
+         e AS (SELECT zone_id, x AS x1, y AS y1, lead(x) OVER o AS x2, lead(y) OVER o AS y2 FROM w WINDOW o AS (PARTITION BY zone_id, i ORDER BY k)),
+         box AS (SELECT zone_id, min(x) AS xa, max(x) AS xb, min(y) AS ya, max(y) AS yb FROM w GROUP BY zone_id),
+         p AS (SELECT 'pickup' AS kind, record_no, pickup_latitude AS y, pickup_longitude AS x FROM taxi UNION ALL SELECT 'dropoff', record_no, dropoff_latitude, dropoff_longitude FROM taxi),
+         l AS (SELECT * FROM p WHERE y BETWEEN -90 AND 90 AND x BETWEEN -180 AND 180 AND NOT (y = 0 AND x = 0))
+    SELECT kind, CAST(zone_id AS BIGINT) AS key_a, record_no AS key_b FROM l JOIN box ON x BETWEEN xa AND xb AND y BETWEEN ya AND yb JOIN e USING (zone_id)
+    WHERE (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY kind, zone_id, record_no HAVING count(*) % 2 = 1"""
+
+
+@catalog.query("p4_found", f"SELECT 'near' AS kind, key_a, key_b FROM ({_NEAR_SQL}) UNION ALL SELECT kind, key_a, key_b FROM ({_ZONES_SQL})")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d).select(F.lit("near").alias("kind"), "key_a", "key_b").unionByName(_zones(spark, d))
+
+
+@catalog.query("p4_near", _NEAR_SQL)
 def p4_near(spark: SparkSession, d: str) -> DataFrame:
     return _near(spark, d)
 

@@ -222,11 +222,14 @@ def test_readers(spark, tmp_path):
     (tmp_path / "b.psv").write_text("1\x012\n")
     assert rows(readers.read_csv(spark, f"{tmp_path}/b.psv", "0x01", ["p", "q"])) == [("1", "2")]
     assert readers.separator("\\t") == "\t"
-    (tmp_path / "m.xml").write_text('<osm><node id="1" lat="1.0" lon="2.0"><tag k="amenity" v="inn"/></node><node id="2" lat="1.5" lon="2.5"/><way id="7"><nd ref="1"/><nd ref="2"/><tag k="highway" v="residential"/></way><way id="8"><nd ref="9"/><tag k="highway" v="primary"/></way><way id="9"><nd ref="1"/><tag k="highway" v="proposed"/></way><way id="7"><nd ref="2"/><tag k="highway" v="track"/></way></osm>')
+    (tmp_path / "m.xml").write_text('<osm><node id="1" lat="1.0" lon="2.0"><tag k="amenity" v="inn"/></node><node id="2" lat="1.5" lon="2.5"/><way id="7"><nd ref="1"/><nd ref="2"/><tag k="highway" v="residential"/></way><way id="8"><nd ref="9"/><tag k="highway" v="primary"/></way><way id="9"><nd ref="1"/><tag k="highway" v="proposed"/></way><way id="7"><nd ref="2"/><tag k="highway" v="track"/></way><cell id="5"><nd ref="2"/><tag k="name" v="c"/></cell><way id="6"><nd ref="2"/><tag k="highway" v="raceway"/></way></osm>')
     locates, objects = readers.read_map_extract(spark, f"{tmp_path}/m.xml", nodes=True)
     assert rows(locates) == [(1, 1.0, 2.0), (2, 1.5, 2.5)]
     got = {r["id"]: (r["tags"], r["locate_ids"]) for r in objects.collect()}
-    assert got == {7: ({"highway": "residential"}, [1, 2]), 10**15 + 1: ({"amenity": "inn"}, [1])}
+    assert got == {7: ({"highway": "residential"}, [1, 2]), 6: ({"highway": "raceway"}, [2]), 10**15 + 1: ({"amenity": "inn"}, [1])}
+    assert {r["id"] for r in readers.read_map_extract(spark, f"{tmp_path}/m.xml", roads=False, cells=True)[1].collect()} == {5}
+    (tmp_path / "c.csv").write_text('1,"x\ny"\n2,z\n')
+    assert rows(readers.read_csv(spark, f"{tmp_path}/c.csv", breaks=True)) == [("1", "x\ny"), ("2", "z")]
     q = spark.createDataFrame([(1, 1.0, 2.0001)], "query_id long, lat double, lon double")
     near = snap.nearest(q, snap.supported(locates, objects, snap.kv("highway", "residential")), 100.0)
     assert [(r["id"], len(r["objects"])) for r in snap.with_objects(near, objects, snap.k("highway")).collect()] == [(1, 1)]
@@ -295,3 +298,37 @@ def test_stored_rollups_serve_filters(spark, crimes, tmp_path):
     q = Query((c,)).b("location", T.Dive(2, T.Path((2,)))).b("type", T.Name("THEFT"))
     assert "rollup-0" in q.result().df._jdf.queryExecution().executedPlan().toString()
     assert rows(q.table()) == rows(Query((crimes,)).b("location", T.Dive(2, T.Path((2,)))).b("type", T.Name("THEFT")).table())
+
+
+def test_snap_requests(spark):
+    from prismcube.plans import snaplang
+
+    locates = spark.createDataFrame([(1, 10.0, 20.0), (2, 10.0, 20.0005), (3, 10.0, 20.0009)], "id long, lat double, lon double")
+    objects = spark.createDataFrame([(7, {"highway": "road"}, [1, 2]), (8, {"building": "yes"}, [2, 3])], "id long, tags map<string,string>, locate_ids array<bigint>")
+    ask = "snap.loc(10,20,50,60).radius(100)"
+    got = {(r["query_id"], r["id"]): [o["object_id"] for o in r["objects"]] for r in snaplang.answer(ask, locates, objects).collect()}
+    assert got == {(0, 1): [7], (0, 2): [7, 8], (0, 3): [8]}
+    road = ask + ".filter(k('highway')*not(v('path'))).max(2)"
+    assert [(r["object_id"], [x["id"] for x in r["locates"]]) for r in snaplang.answer(road + ".order('objects')", locates, objects).collect()] == [(7, [1, 2])]
+    assert sorted(r["object_id"] for r in snaplang.answer(road + ".order('objects_all')", locates, objects).collect()) == [7, 8]
+    assert {r["id"] for r in snaplang.answer(ask + ".support(2,-1)", locates, objects).collect()} == {2}
+    assert snaplang.render(ask + ".max(1).format('json')", locates, objects).startswith('[{"query_id":0,"lat":10.0')
+    assert snaplang.render(ask, locates, objects).splitlines()[0].startswith("query_id\tlat\tlon\trank\tid")
+    for bad in ("snap.radius(3)", "snap.loc(1)", "snap.loc(1,2).max(0)", "snap.loc(1,2).radius(-1)", "snap.loc(1,2).order('x')", "snap.loc(1,2)+3"):
+        with pytest.raises(QueryError):
+            snaplang.parse(bad)
+
+
+def test_crowded_cells_and_places(spark, monkeypatch):
+    monkeypatch.setattr(snap, "CROWD", 5)
+    r = random.Random(8)
+    at = [(i, 10 + r.random() / 500, 20 + r.random() / 500) for i in range(60)] + [(100 + i, 10.0, 20.0) for i in range(20)]
+    q = [(i, 10 + (i % 3) / 1000, 20.0) for i in range(12)] + [(99, None, 1.0)]
+    got = snap.nearest(spark.createDataFrame(q, "query_id long, lat double, lon double"), spark.createDataFrame(at, "id long, lat double, lon double"), 80.0, 4).collect()
+
+    def metres(a, b, c, d):
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 2 * 6_371_000 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+    want = [(i, n) for i, a, b in q if a is not None for _, n in sorted((metres(a, b, c, d), n) for n, c, d in at if metres(a, b, c, d) <= 80)[:4]]
+    assert sorted((x["query_id"], x["id"]) for x in got) == sorted(want)

@@ -121,22 +121,34 @@ def p2_fleet_from_days(spark: SparkSession, d: str) -> DataFrame:
     return rank_summary.percentiles(_of_days(spark, d), ["fleet_id"], PROBS)
 
 
-_WITHIN = " UNION ALL ".join(
-    f"SELECT fleet_id, '{v}' AS field, unnest([{', '.join(map(str, PROBS))}]) AS prob, count({v}) AS n, true AS within FROM taxi WHERE NOT isnan({v}) GROUP BY fleet_id" for v in MEASURES
-)
-
-
-@catalog.query("p2_fleet_within", f"SELECT fleet_id, field, CAST(prob AS DOUBLE) AS prob, n, within FROM ({_WITHIN})")
-def p2_fleet_within(spark: SparkSession, d: str) -> DataFrame:
-    """Whether the true ranks of the combined percentiles keep the promised error."""
-    found = materialise(rank_summary.percentiles(_of_days(spark, d), ["fleet_id"], PROBS), "within")
-    long = table(spark, d, "taxi").select("fleet_id", F.explode(F.array(*[F.struct(F.lit(v).alias("field"), F.col(v).alias("v")) for v in MEASURES])).alias("x")).select("fleet_id", "x.*").where("NOT isnan(v)")
-    counts = long.groupBy("fleet_id", "field", "v").agg(F.count(F.lit(1)).alias("c"))
-    # A few rows per fleet are joined to each of its values.
-    ranks = counts.join(F.broadcast(found), ["fleet_id", "field"]).groupBy("fleet_id", "field", "prob", "n").agg(F.sum(F.when(F.col("v") < F.col("value"), F.col("c")).otherwise(0)).alias("below"), F.sum(F.when(F.col("v") <= F.col("value"), F.col("c")).otherwise(0)).alias("upto"))
+def _within_sql(key: str) -> str:
+    each = " UNION ALL ".join(
+        f"SELECT {key}, '{v}' AS field, unnest([{', '.join(map(str, PROBS))}]) AS prob, count({v}) AS n, true AS within FROM taxi WHERE NOT isnan({v}) GROUP BY {key}" for v in MEASURES
+    )
+    return f"SELECT {key}, field, CAST(prob AS DOUBLE) AS prob, n, within FROM ({each})"
+
+
+def _within(spark: SparkSession, d: str, key: str, found: DataFrame) -> DataFrame:
+    """Whether the true ranks of percentiles keep the promised error."""
+    found = materialise(found, "within")
+    long = table(spark, d, "taxi").select(key, F.explode(F.array(*[F.struct(F.lit(v).alias("field"), F.col(v).alias("v")) for v in MEASURES])).alias("x")).select(key, "x.*").where("NOT isnan(v)")
+    counts = long.groupBy(key, "field", "v").agg(F.count(F.lit(1)).alias("c"))
+    # One row per percentile of a key meets each of the key's values; a null key is a key.
+    near = found.withColumnRenamed(key, "k_").withColumnRenamed("field", "f_")
+    j = counts.join(near, F.col(key).eqNullSafe(F.col("k_")) & (F.col("field") == F.col("f_")))
+    ranks = j.groupBy(key, "field", "prob", "n").agg(F.sum(F.when(F.col("v") < F.col("value"), F.col("c")).otherwise(0)).alias("below"), F.sum(F.when(F.col("v") <= F.col("value"), F.col("c")).otherwise(0)).alias("upto"))
     want = F.greatest(F.lit(1), F.ceil(F.col("prob") * F.col("n") - F.lit(1e-9)))
     off = F.greatest(F.col("below") + 1 - want, want - F.col("upto"), F.lit(0))
-    return ranks.select("fleet_id", "field", "prob", "n", (off <= F.greatest(F.lit(1.0), EPS * F.col("n"))).alias("within"))
+    return ranks.select(key, "field", "prob", "n", (off <= EPS * F.col("n")).alias("within"))
+
+
+for _key in ("fleet_id", "pickup_location", "batch_day"):
+
+    def _check(spark: SparkSession, d: str, key: str = _key) -> DataFrame:
+        found = rank_summary.percentiles(_of_days(spark, d), [key], PROBS) if key == "fleet_id" else _percentiles([key])(spark, d)
+        return _within(spark, d, key, found)
+
+    catalog.add("p2_fleet_within" if _key == "fleet_id" else f"p2_{_key}_within", _check, _within_sql(_key))
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:

@@ -37,7 +37,7 @@ class Target:
 
 
 #: Most ranges of codes in a filter; cells in more ranges are tested by prefix behind ranges that cover them.
-RANGES = 8
+RANGES = 4
 
 
 def _pfx(dim: IndexDim, code: Column, depth: int) -> Column:
